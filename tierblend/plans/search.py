@@ -78,10 +78,13 @@ def result_table(scores: DataFrame, metric: str, folds: Sequence[int]) -> DataFr
 
 
 def best_config(scores: DataFrame, metric: str) -> DataFrame:
-    """``(cfg, score)`` of the best mean: smallest for a loss, largest otherwise; ties go to the lower cfg."""
+    """``(cfg, score)`` of the best mean: smallest for a loss, largest otherwise; ties go to the lower cfg.
+
+    Means are compared to twelve decimals, as their last bits depend on the order of summation.
+    """
     means = fold_summary(scores.filter(F.col("metric") == metric), ("cfg",)).filter(F.col("score_mean").isNotNull())
     sign = 1.0 if "loss" in metric else -1.0
-    rank = F.struct((F.col("score_mean") * sign).alias("s"), F.col("cfg"))
+    rank = F.struct(F.round(F.col("score_mean") * sign, 12).alias("s"), F.col("cfg"))
     return means.agg(F.min_by("cfg", rank).alias("cfg"), F.min_by("score_mean", rank).alias("score"))
 
 
@@ -89,7 +92,7 @@ def top_configs(scores: DataFrame, metric: str, k: int, use_lower: bool = False)
     """The k configurations of lowest ``-mean`` (plus the deviation with ``use_lower``)."""
     loss = -F.col("score_mean") + (F.col("score_std") if use_lower else F.lit(0.0))
     means = fold_summary(scores.filter(F.col("metric") == metric), ("cfg",))
-    return means.select("cfg", loss.alias("loss")).orderBy("loss", "cfg").limit(k)
+    return means.select("cfg", loss.alias("loss")).orderBy(F.round("loss", 12), "cfg").limit(k)
 
 
 @dataclass(frozen=True)

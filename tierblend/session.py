@@ -58,19 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def settle(df: DataFrame, name: str, order_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The copy has no lineage, survives the loss of executors, and can be read by column and (with
-    ``partition_by``) by folder.
+    The copy has no lineage and survives the loss of executors. With ``order_by`` each file is sorted,
+    so that filters on those columns skip pages by their statistics.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    (df.sortWithinPartitions(*order_by) if order_by else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucket_count(spark: SparkSession) -> int:

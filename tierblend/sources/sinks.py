@@ -14,7 +14,9 @@ from tierblend.operators.ordering import with_row_number
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    """Delimited text with a header line; blanks at the ends of texts are kept."""
+    kept = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**kept).csv(path)
 
 
 def write_csv_with_id(df: DataFrame, path: str, order: str, name: str = "ID") -> None:
