@@ -96,15 +96,17 @@ BASKET_COLUMNS = ("n_lines", "sum_qty", "avg_discount", "max_tax", "avg_price")
 
 
 def baskets(spark: SparkSession, d: str) -> DataFrame:
-    """Line items gathered by order; the label is a rule over two of the measures."""
+    """Line items gathered by order; the label is a rule over two of the measures with some labels flipped."""
     li = table(spark, d, "lineitem")
     per = li.groupBy(F.col("l_orderkey").alias("ID")).agg(
         F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
         F.avg("l_discount").alias("avg_discount"), F.max("l_tax").alias("max_tax"),
         F.avg("l_extendedprice").alias("avg_price"),
     )
-    label = ((F.col("avg_discount") > 0.05) & (F.col("sum_qty") > 100)).cast("double")
-    return per.withColumn("label", label)
+    rule = (F.col("avg_discount") > 0.05) & (F.col("sum_qty") > 100)
+    # one key in sixteen carries the opposite label
+    flipped = F.substring(F.md5(F.col("ID").cast("string")), 1, 1) == "0"
+    return per.withColumn("label", (rule != flipped).cast("double"))
 
 
 def basket_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ def staged_loss(model, parts: dict[str, DataFrame]) -> DataFrame:
     """Loss after every boosting stage: ``(stage, part, loss)``, one pass per part."""
     rows = []
     for part, df in parts.items():
-        rows += [(i, part, float(x)) for i, x in enumerate(model.evaluateEachIteration(df, "logistic"), start=1)]
+        rows += [(i, part, float(x)) for i, x in enumerate(model.evaluateEachIteration(df), start=1)]
     spark = next(iter(parts.values())).sparkSession
     return spark.createDataFrame(rows, "stage int, part string, loss double")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierblend.operators import margins, neighbours, ridge, trees
@@ -56,12 +56,12 @@ def fold_table(
     return FoldedTable(stored, key, label, features, "fold", tuple(sorted((r["fold"], r["count"]) for r in counts)))
 
 
-def run_parallel(jobs: Sequence[Callable], width: int | None = None) -> list:
-    width = width or PARALLEL_FITS
+def run_parallel(spark: SparkSession, jobs: Sequence[Callable], width: int = PARALLEL_FITS) -> list:
+    """Results of driver-side jobs started side by side, in order."""
     if len(jobs) <= 1:
         return [j() for j in jobs]
     with ThreadPoolExecutor(min(width, len(jobs))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
 class Fitted:
@@ -110,7 +110,7 @@ class SparkLearner:
             est = self.build(dict(configs[c]), table.size_without(f))
             return lambda: est.fit(table.without(f).select(table.label, table.features))
 
-        models = run_parallel([one(c, f) for c, f in todo])
+        models = run_parallel(table.df.sparkSession, [one(c, f) for c, f in todo])
         return Fitted(table, dict(zip(todo, models)), self.calibration)
 
 
@@ -212,7 +212,7 @@ def logistic_learner(penalty: str, label: str = "label") -> SparkLearner:
 
 
 def hinge_svm_learner(label: str = "label") -> SparkLearner:
-    return SparkLearner(lambda p, n: margins.hinge_svm(p["C"], n, label=label, fit_intercept=p.get("fit_intercept", True)), "minmax")
+    return SparkLearner(lambda p, n: margins.hinge_svm(p["C"], n, label=label, fit_intercept=p.get("fit_intercept", True), tol=p.get("tol", 1e-3)), "minmax")
 
 
 def boosting_learner(label: str = "label") -> SparkLearner:

@@ -102,11 +102,16 @@ class SearchResult:
     metric: str
     best: int | None
     best_score: float | None
+    rounds: tuple[DataFrame, ...] = ()
 
     @property
     def best_params(self) -> dict:
         return self.configs[self.best]
 
+    def out_of_fold(self) -> DataFrame:
+        """The stored out-of-fold predictions of the chosen configuration; nothing is fitted again."""
+        return self.rounds[self.best // ROUND].filter(F.col("cfg") == self.best)
+
 
 def run_search(learner, table: FoldedTable, configs: Sequence[dict], metric: str = "auc", keep: str | None = None) -> SearchResult:
     """Cross-validate every configuration on the shared folds and pick the best.
@@ -115,7 +120,7 @@ def run_search(learner, table: FoldedTable, configs: Sequence[dict], metric: str
     names a folder that receives them as ``(cfg, fold, key, label, p)``.
     """
     spark = table.df.sparkSession
-    rows = []
+    rows, rounds = [], []
     for start in range(0, len(configs), ROUND):
         part = list(configs[start : start + ROUND])
         oof = learner.fit(table, part).out_of_fold(range(len(part)))
@@ -125,11 +130,12 @@ def run_search(learner, table: FoldedTable, configs: Sequence[dict], metric: str
             oof = spark.read.schema(oof.schema).parquet(keep).filter(F.col("cfg").between(start, start + len(part) - 1))
         else:
             oof = settle(oof, "oof")
+        rounds.append(oof)
         # configurations times folds times seven numbers
         rows += [tuple(r) for r in cv_scores(oof, table.label).collect()]
     scores = spark.createDataFrame(rows, "cfg int, fold int, metric string, score double")
     top = best_config(scores, metric).first()
-    return SearchResult(list(configs), scores, metric, top["cfg"], top["score"])
+    return SearchResult(list(configs), scores, metric, top["cfg"], top["score"], tuple(rounds))
 
 
 def grid_search(learner, table: FoldedTable, grid: dict[str, Sequence], metric: str = "auc", keep: str | None = None) -> SearchResult:
