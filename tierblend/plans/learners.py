@@ -51,11 +51,19 @@ def fold_table(
 ) -> FoldedTable:
     """Assign the folds once; every model of the level then shares them."""
     kept = df.select(key, F.col(label).cast("double").alias(label), features)
-    stored = settle(stratified_folds(kept, label, key, k, seed), "folds", ("fold",))
+    stored = _spread(settle(stratified_folds(kept, label, key, k, seed), "folds", ("fold",)), key)
     counts = stored.groupBy("fold").count().collect()
     return FoldedTable(stored, key, label, features, "fold", tuple(sorted((r["fold"], r["count"]) for r in counts)))
 
 
+def _spread(stored: DataFrame, key: str) -> DataFrame:
+    """Cut a stored table once more when it has fewer pieces than the cluster has cores."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() >= cores:
+        return stored
+    return settle(stored.repartition(cores, key), "spread")
+
+
 def run_parallel(spark: SparkSession, jobs: Sequence[Callable], width: int = PARALLEL_FITS) -> list:
     """Results of driver-side jobs started side by side, in order."""
     if len(jobs) <= 1:
@@ -236,7 +244,7 @@ def encode_leaves(table: FoldedTable, test: DataFrame | None, tree_params: dict)
 
     hot = fit_leaf_one_hot(leaves(table.df))
     train = hot.transform(leaves(table.df), "leaf", table.features).drop("leaf")
-    stored = settle(train, "leaves", (table.fold,))
+    stored = settle(train, "leaves")
     coded = FoldedTable(stored, table.key, table.label, table.features, table.fold, table.counts)
     other = None if test is None else settle(hot.transform(leaves(test), "leaf", table.features).drop("leaf"), "leaves-test")
     return coded, other, model
