@@ -51,17 +51,22 @@ def fold_table(
 ) -> FoldedTable:
     """Assign the folds once; every model of the level then shares them."""
     kept = df.select(key, F.col(label).cast("double").alias(label), features)
-    stored = _spread(settle(stratified_folds(kept, label, key, k, seed), "folds", ("fold",)), key)
-    counts = stored.groupBy("fold").count().collect()
-    return FoldedTable(stored, key, label, features, "fold", tuple(sorted((r["fold"], r["count"]) for r in counts)))
+    stored = settle(stratified_folds(kept, label, key, k, seed), "folds", ("fold",))
+    counts = tuple(sorted((r["fold"], r["count"]) for r in stored.groupBy("fold").count().collect()))
+    return FoldedTable(_spread(stored, key, sum(n for _, n in counts)), key, label, features, "fold", counts)
 
 
-def _spread(stored: DataFrame, key: str) -> DataFrame:
-    """Cut a stored table once more when it has fewer pieces than the cluster has cores."""
+#: Below this many rows a further piece of a table costs more than it brings.
+ROWS_PER_PIECE = 10_000
+
+
+def _spread(stored: DataFrame, key: str, rows: int) -> DataFrame:
+    """Cut a stored table once more when it has fewer pieces than its rows and the cores can use."""
     cores = stored.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() >= cores:
+    useful = max(1, min(cores, rows // ROWS_PER_PIECE))
+    if stored.rdd.getNumPartitions() >= useful:
         return stored
-    return settle(stored.repartition(cores, key), "spread")
+    return settle(stored.repartition(useful, key), "spread")
 
 
 def run_parallel(spark: SparkSession, jobs: Sequence[Callable], width: int = PARALLEL_FITS) -> list:
