@@ -165,6 +165,7 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
         rows = [shared.value.score(terms(t)) for t in texts]
         return pd.DataFrame(rows, columns=["score", "evidence"])
 
+    score.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     run = F.pandas_udf(score, "score double, evidence array<long>")
     return docs.select("doc_id", run(text_or_empty()).alias("s")).select("doc_id", "s.*")
 
