@@ -19,7 +19,7 @@ from tierblend.session import ship_by_value
 ship_by_value(__name__)
 
 #: Pre-tokens of up to so many bytes are remembered, and at most so many of them per Python worker.
-CACHE_BYTES, CACHE_ENTRIES = 64, 200_000
+CACHE_BYTES, CACHE_ENTRIES = 64, 400_000
 
 
 class RankQueue:
@@ -81,10 +81,14 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             queue.push(rank, i)
 
     for i in range(n - 1):
-        offer(i)
+        rank = ranks.get(piece[i:i + 2], -1)
+        if rank >= 0:
+            rank_at[i] = rank
+            queue.push(rank, i)
     while (found := queue.pop_rank()) is not None:
         rank, places = found
-        places.sort()
+        if len(places) > 1:
+            places.sort()
         for i in places:
             if rank_at[i] != rank:
                 continue
@@ -109,14 +113,13 @@ class Codec:
     def __init__(self, blob: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         self.pieces = {v: k for k, v in self.ranks.items()}
-        self.split = regex.compile(pattern).finditer
+        self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         cache = self.cache
-        for m in self.split(text):
-            word = m.group()
+        for word in self.split(text):
             got = cache.get(word)
             if got is None:
                 raw = word.encode()
