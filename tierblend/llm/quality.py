@@ -86,8 +86,9 @@ def fit(bags: list, labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, f
     vectors = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     out = np.zeros((WIDTH, 2))
     shift = np.array([0.0, prior])
-    steps, total = 0, EPOCHS * len(bags)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-EPOCHS * SAMPLE // len(bags)))  # as many steps for a small sample as for a full one
+    steps, total = 0, epochs * len(bags)
+    for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             at, share_of = bags[i]
             rate = RATE * (1 - steps / total)
