@@ -2,33 +2,40 @@
 
 A text's shingles (five words, or all words when there are fewer) are hashed once; ``BINS`` bins keep their smallest
 hash, and an empty bin takes that of a non-empty one found by hashing the bin's number (optimal densification). Bands
-of ``ROWS`` bins give buckets. In each bucket a star joins a hub, drawn by a hash of round and bucket, with every other
-member: a bucket of m members gives m - 1 pairs. Pairs are confirmed on the full shingle sets. Rounds go on with other
-hubs, in the buckets that still hold more than one component, until ``QUIET`` rounds in a row confirm no further link.
-Texts with equal shingle sets are joined first, so copies cost one row each and never meet in a bucket.
-
-Null texts, empty texts and texts without words have no shingles and are linked with nothing. Repeated ids with equal
-sets share a component; null ids are kept and never linked. Extra columns are not read by ``components``.
+of ``ROWS`` bins give buckets. In each bucket a star joins a hub with every other member: a bucket of m members gives
+m - 1 pairs, confirmed on the full shingle sets. Hubs follow one fixed random order of all texts, so the buckets of a
+group share theirs. A hub has then met its whole bucket and leaves it; buckets that still hold more than one component
+go on, with four times as many hubs in each round, until none is left. So any two members of a bucket are compared or
+are connected already: no link between members is lost, and no group is expanded into its pairs. What a bucket holds
+that is linked with nothing else in it, it does compare: that part grows with the square of its unlinked members.
+Two texts at the threshold share no bucket with probability (1 - 0.85 ^ ROWS) ^ (BINS // ROWS), some 2e-9.
+Texts with equal shingle sets are joined first, so copies cost one row each and never meet in a bucket. Other texts
+link only from ``LEAST`` shingles on (below, one different shingle is already too much) and go into no bucket before.
+
+Null texts, empty texts and texts without words have no shingles and are linked with nothing. Rows of one id share a
+component; null ids are kept and never linked. Extra columns are not read by ``components``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tierblend.llm.base import ASCII_LOWER, ASCII_UPPER, query, settle, table, text_or_empty
+from tierblend.llm.base import query, settle, table, text_or_empty
 from tierblend.session import ship_by_value
 
 ship_by_value(__name__)
 
-BINS, ROWS, WORDS, SHARE, QUIET, SEED = 128, 4, 5, 85, 1, 97
-_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-#: The white space of the contract's words; other separators that str.split knows are kept inside words.
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+BINS, ROWS, WORDS, SHARE, SEED = 256, 6, 5, 85, 97
+#: Hubs per bucket grow by this factor from round to round.
+GROWTH = 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, dtype=np.uint64)
 
 
 def _mix(h):
@@ -37,83 +44,116 @@ def _mix(h):
     return h ^ (h >> np.uint64(31))
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    lengths = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-    start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(codes)) - np.repeat(start, lengths)
-    power = np.full(int(lengths.max()) + 1, _PRIME, dtype=np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    return _mix(np.add.reduceat(codes * power[place], start) + lengths.astype(np.uint64) * np.uint64(7919))
+def _power(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        _powers = np.full(max(n, 1024), _PRIME, dtype=np.uint64)
+        _powers[0] = 1
+        _powers = np.multiply.accumulate(_powers)
+    return _powers
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    """One 64-bit hash per word, A-Z lowered; white space is that of the contract's words, nothing else."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = (codes == 32) | (codes - np.uint32(9) < 5)
+    begin = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    codes, space, begin = codes[begin[0]:], space[begin[0]:], begin - begin[0]
+    lower = codes + np.uint32(1) + (codes - np.uint32(65) < 26) * np.uint32(32)
+    place = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes))))
+    terms = lower * _power(int(place.max()) + 1)[place]
+    terms[space] = 0
+    return _mix(np.add.reduceat(terms, begin))
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = [w for w in text.translate(_LOWER).translate(_SPACES).split(" ") if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
-    width = min(size, len(words))
+    h = _word_hashes(text)
+    if not len(h):
+        return h
+    width = min(size, len(h))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for j in range(width):
         out = _mix(out * _PRIME + h[j:len(h) - width + 1 + j] + np.uint64(width))
     return np.unique(out)
 
 
+@functools.lru_cache(maxsize=64)
+def _attempts(bins: int, turn: int) -> np.ndarray:
+    """Bins that each bin tries, in order: 32 attempts of a turn as rows."""
+    tries = np.arange(32 * turn, 32 * (turn + 1), dtype=np.uint64)[:, None] + np.uint64(1)
+    return (_mix(np.arange(bins, dtype=np.uint64) * np.uint64(1_000_003) + tries * _PRIME) % np.uint64(bins)).astype(np.int64)
+
+
 def signature(found: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Smallest hash per bin of one permutation; empty bins filled by optimal densification."""
-    at = (found >> np.uint64(57)).astype(np.int64) % bins
-    out = np.full(bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(out, at, _mix(found + np.uint64(SEED)))
+    at = (((found >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)  # sorted, as ``found`` is
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros(bins, dtype=np.uint64)
+    out[at[first]] = np.minimum.reduceat(_mix(found + np.uint64(SEED)), first)
     filled = np.zeros(bins, bool)
     filled[at] = True
     source = np.arange(bins)
     empty = np.flatnonzero(~filled)
-    attempt = 1
+    turn = 0
     while len(empty):
-        pick = (_mix(empty.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        good = filled[pick]
-        source[empty[good]] = pick[good]
-        empty = empty[~good]
-        attempt += 1
+        picks = _attempts(bins, turn)[:, empty]
+        good = filled[picks]
+        found_at = good.argmax(axis=0)
+        done = good[found_at, np.arange(len(empty))]
+        source[empty[done]] = picks[found_at[done], np.flatnonzero(done)]
+        empty = empty[~done]
+        turn += 1
     return out[source]
 
 
 def buckets(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band of ``rows`` bins."""
-    part = sig.reshape(-1, rows)
+    part = sig[:len(sig) // rows * rows].reshape(-1, rows)
     out = np.arange(len(part), dtype=np.uint64)
     for j in range(rows):
         out = _mix(out * _PRIME + part[:, j])
     return out.view(np.int64)
 
 
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        found = shingles(t)
-        if len(found):
-            rows.append((len(found), hashlib.md5(found.tobytes()).hexdigest(), buckets(signature(found))))
-        else:
-            rows.append((0, None, None))
-    return pd.DataFrame(rows, columns=["n", "mark", "keys"])
+def least_linked(share: int) -> int:
+    """Shingles that a set needs at least to be linked with a different one: k common of k + 1 must reach the share."""
+    return math.ceil(share / (100 - share)) if share < 100 else 2**31 - 1
 
 
-def _common(left: pd.Series, right: pd.Series) -> pd.Series:
-    out, last, kept = [], None, None
-    for a, b in zip(left, right):
-        if a is not last:
-            last, kept = a, shingles(a)
-        out.append(len(np.intersect1d(kept, shingles(b), assume_unique=True)))
-    return pd.Series(out, dtype="int64")
+def _sketcher(least: int):
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            found = shingles(t)
+            n = len(found)
+            rows.append((n, hashlib.md5(found.tobytes()).digest() if n else None,
+                         buckets(signature(found)) if n >= least else None))
+        return pd.DataFrame(rows, columns=["n", "mark", "keys"])
+    return F.pandas_udf(sketch, "n long, mark binary, keys array<long>")
 
 
-def _spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): smallest id reachable, by alternating large-star and small-star steps until no edge changes."""
-    edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+def _full(texts: pd.Series) -> pd.DataFrame:
+    found = [shingles(t) for t in texts]
+    return pd.DataFrame({"mark": [hashlib.md5(f.tobytes()).digest() for f in found], "held": [f.view(np.int64) for f in found]})
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether any node has two lower neighbours, or a lower and a higher one: then the edges are no stars yet."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return not (ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+                .where((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0))).isEmpty())
+
+
+def _spread_labels(edges: DataFrame) -> DataFrame:
+    """(u, r): smallest id r reachable from u, by alternating large-star and small-star steps until all edges are stars.
+
+    ``edges`` are distinct and stored, with u > v.
+    """
+    while _tangled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -125,65 +165,66 @@ def _spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                                            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
         edges = settle(small, "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    roots = edges.groupBy("u").agg(F.min("v").alias("r"))
-    return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("r", "id").alias("root"))
+    return edges.select("u", F.col("v").alias("r"))
 
 
-def components(docs: DataFrame, share: int = SHARE, quiet: int = QUIET) -> DataFrame:
+def _relabel(df: DataFrame, map_: DataFrame) -> DataFrame:
+    return (df.join(map_, F.col("root") == F.col("u"), "left").withColumn("root", F.coalesce("r", "root"))
+            .drop("u", "r"))
+
+
+def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    sketch = F.pandas_udf(_sketch, "n long, mark string, keys array<long>")
-    common = F.pandas_udf(_common, "long")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    sketched = settle(rows.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    # one representative per distinct shingle set: the smallest id (min combines before the shuffle)
+    sketched = settle(rows.select("doc_id", _sketcher(least_linked(share))("text").alias("s")).select("doc_id", "s.*"),
+                      "sketches")
+    # one row per distinct shingle set, under its smallest id (combined before the shuffle)
     classes = settle(sketched.where("mark is not null and doc_id is not null").groupBy("mark", "n")
-                     .agg(F.min("doc_id").alias("id")), "classes")
-    reps = sketched.where("mark is not null").join(classes, ["mark", "n"]).where("doc_id = id").dropDuplicates(["id", "mark"])
-    banded = reps.select("id", "n", F.explode("keys").alias("bucket"))
+                     .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
+    banded = classes.select(F.struct("id", "mark").alias("who"), "n", F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    banded = settle(banded.join(shared, "bucket", "left_semi"), "bands")
-    ids = settle(classes.select("id"), "ids")
-    texts = rows.join(settle(banded.select("id").distinct(), "partnered"), F.col("doc_id") == F.col("id"), "left_semi")
-    texts = settle(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_t"), "partner-texts")
-    roots, tried, links, silent, turn = None, None, None, 0, 0
-    while silent <= quiet:
-        now = banded.withColumn("root", F.col("id")) if roots is None else banded.join(roots, "id")
-        order = F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("h"), F.col("id").alias("hub"),
-                         F.col("root").alias("hub_root"), F.col("n").alias("hub_n"))
-        hubs = now.groupBy("bucket").agg(F.min(order).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
-        hubs = hubs.where("low <> high").select("bucket", "k.*")
-        pairs = (now.join(hubs, "bucket").where("root <> hub_root")
+    # a fixed random place of each text in [0, 1)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "who"), 11) * F.lit(2.0 ** -53)
+    bands = settle(banded.join(shared, "bucket", "left_semi")
+                   .select("bucket", "who", "n", place.alias("at"), F.col("who.id").alias("root")), "bands")
+    partners = settle(bands.select("who").distinct(), "partners")
+    wanted = partners.select(F.col("who.id").alias("_i")).distinct()
+    sets = settle(rows.join(wanted, F.col("doc_id") == F.col("_i"), "left_semi")
+                  .select("doc_id", F.pandas_udf(_full, "mark binary, held array<long>")("text").alias("s"))
+                  .select(F.struct(F.col("doc_id").alias("id"), "s.mark").alias("who"), "s.held")
+                  .dropDuplicates(["who"]), "partner-sets")
+    maps, hubs_wanted = [], 1.0
+    while True:
+        state = (bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("at").alias("first"), F.min("root").alias("low"),
+                                             F.max("root").alias("high"))
+                 .where("low <> high").select("bucket", F.greatest("first", F.lit(hubs_wanted) / F.col("m")).alias("cut")))
+        live = settle(bands.join(state, "bucket"), "open-bands")
+        if live.isEmpty():
+            break
+        hubs = live.where("at <= cut").select("bucket", F.col("who").alias("hub"), F.col("n").alias("hub_n"),
+                                              F.col("root").alias("hub_root"))
+        mine = F.col("who") < F.col("hub")
+        pairs = (live.join(hubs, "bucket").where("root <> hub_root")
                  .where(F.greatest("n", "hub_n") * share <= F.least("n", "hub_n") * 100)
-                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"),
+                 .select(F.when(mine, F.col("who")).otherwise(F.col("hub")).alias("a"),
+                         F.when(mine, F.col("hub")).otherwise(F.col("who")).alias("b"),
+                         F.least("root", "hub_root").alias("v"), F.greatest("root", "hub_root").alias("u"),
                          (F.col("n") + F.col("hub_n")).alias("sum")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "star-pairs")
-        if pairs.isEmpty():
-            silent += 1
-            turn += 1
-            continue
-        met = (pairs.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("_t")).drop("_t")
-               .join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("_t")).drop("_t")
-               .withColumn("common", common("ta", "tb")))
-        fresh = settle(met.where((100 + share) * F.col("common") >= share * F.col("sum")).select("a", "b"), "links")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if fresh.isEmpty():
-            silent += 1
-        else:
-            silent = 0
-            links = fresh if links is None else links.unionByName(fresh)
-            roots = settle(_spread_labels(ids, links), "roots")
-        turn += 1
-    if roots is None:
-        roots = ids.select("id", F.col("id").alias("root"))
-    named = settle(classes.join(roots, "id").select(F.col("mark").alias("_mark"), F.col("n").alias("_n"), "root"), "named")
+        met = (pairs.join(sets.select(F.col("who").alias("a"), F.col("held").alias("held_a")), "a")
+               .join(sets.select(F.col("who").alias("b"), F.col("held").alias("held_b")), "b")
+               .where((100 + share) * F.size(F.array_intersect("held_a", "held_b")) >= share * F.col("sum")))
+        fresh = settle(met.select("u", "v").distinct(), "links")
+        bands = live.where("at > cut").drop("cut")
+        if not fresh.isEmpty():
+            maps.append(_spread_labels(fresh))
+            bands = _relabel(bands, maps[-1])
+        hubs_wanted *= GROWTH
+    named = classes.select(F.col("mark").alias("_mark"), F.col("id").alias("root"))
+    for map_ in maps:
+        named = _relabel(named, map_)
+    named = settle(named, "named")
     return (sketched.select("doc_id", "n", "mark")
-            .join(named, (F.col("mark") == F.col("_mark")) & (F.col("n") == F.col("_n")) & F.col("doc_id").isNotNull(), "left")
+            .join(named, (F.col("mark") == F.col("_mark")) & F.col("doc_id").isNotNull(), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
