@@ -18,8 +18,10 @@ from tierblend.session import ship_by_value
 
 ship_by_value(__name__)
 
-#: Pre-tokens of up to so many bytes are remembered, and at most so many of them per Python worker.
-CACHE_BYTES, CACHE_ENTRIES = 64, 400_000
+#: Pre-tokens of up to so many characters are remembered; beyond so many of them a Python worker starts anew.
+CACHE_CHARS, CACHE_ENTRIES = 64, 400_000
+#: Characters of texts whose new pre-tokens go through one queue.
+QUEUE_CHARS = 1 << 18
 
 
 class RankQueue:
@@ -62,30 +64,34 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token. Parts are a linked list; the lowest rank merges first, from left to right."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    parts = [piece[i:i + 1] for i in range(n)]
+def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int]) -> list[list[int]]:
+    """Ids of many pre-tokens over one queue: each is a linked list of its own, so they never merge with each other.
+
+    The lowest rank of all merges first, from left to right; within a pre-token that is its own order.
+    """
+    data = b"".join(pieces)
+    n = len(data)
+    parts = [data[i:i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     rank_at = [-1] * n  # rank of the pair that starts here now; other queue entries are stale
     queue = RankQueue()
-
-    def offer(i: int) -> None:
-        j = after[i]
-        rank = ranks.get(parts[i] + parts[j], -1) if j < n else -1
-        rank_at[i] = rank
-        if rank >= 0:
-            queue.push(rank, i)
-
-    for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2], -1)
-        if rank >= 0:
-            rank_at[i] = rank
-            queue.push(rank, i)
-    while (found := queue.pop_rank()) is not None:
+    buckets, push, pop, get = queue.buckets, queue.push, queue.pop_rank, ranks.get
+    begin = 0
+    for piece in pieces:
+        end = begin + len(piece)
+        before[begin] = after[end - 1] = -1
+        i = begin
+        for pair in zip(piece, piece[1:]):
+            rank = pairs[pair[0] << 8 | pair[1]]
+            if rank >= 0:
+                rank_at[i] = rank
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    push(rank, i)
+            i += 1
+        begin = end
+    while (found := pop()) is not None:
         rank, places = found
         if len(places) > 1:
             places.sort()
@@ -93,19 +99,35 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             if rank_at[i] != rank:
                 continue
             j = after[i]
-            parts[i] += parts[j]
-            parts[j] = b""
+            parts[i] = whole = parts[i] + parts[j]
             rank_at[j] = -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[parts[i]])
-        i = after[i]
+            after[i] = j = after[j]
+            if j >= 0:
+                before[j] = i
+                rank_at[i] = fresh = get(whole + parts[j], -1)
+                if fresh >= 0:
+                    if fresh in buckets:
+                        buckets[fresh].append(i)
+                    else:
+                        push(fresh, i)
+            else:
+                rank_at[i] = -1
+            j = before[i]
+            if j >= 0:
+                rank_at[j] = fresh = get(parts[j] + whole, -1)
+                if fresh >= 0:
+                    if fresh in buckets:
+                        buckets[fresh].append(j)
+                    else:
+                        push(fresh, j)
+    out, begin = [], 0
+    for piece in pieces:
+        ids, i = [], begin
+        while i >= 0:
+            ids.append(ranks[parts[i]])
+            i = after[i]
+        out.append(ids)
+        begin += len(piece)
     return out
 
 
@@ -113,27 +135,59 @@ class Codec:
     def __init__(self, blob: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         self.pieces = {v: k for k, v in self.ranks.items()}
+        self.names = {v: str(v) for v in self.pieces}
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
 
+    def learn(self, words) -> None:
+        """Ids of all these pre-tokens, into ``cache``; those in the vocabulary whole need no merge."""
+        fresh, raws = [], []
+        for word in words:
+            raw = word.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.cache[word] = [whole]
+            else:
+                fresh.append(word)
+                raws.append(raw)
+        self.cache.update(zip(fresh, merge_pieces(raws, self.ranks, self.pairs)))
+
+    def encode_many(self, texts) -> list[list[int]]:
+        """Ids of each text; new pre-tokens of a run of texts share one queue, of some ``QUEUE_CHARS`` or one text."""
+        out, run, size = [], [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= QUEUE_CHARS:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, texts) -> list[list[int]]:
+        cache, out, long = self.cache, [], set()
+        if len(cache) >= CACHE_ENTRIES:
+            cache.clear()
+        split = [self.split(t) for t in texts]
+        seen = set().union(*split)
+        new = seen.difference(cache)
+        if new:
+            self.learn(new)
+            long = {w for w in new if len(w) > CACHE_CHARS}
+        for words in split:
+            ids: list[int] = []
+            for got in map(cache.__getitem__, words):
+                ids += got
+            out.append(ids)
+        for w in long:
+            del cache[w]
+        return out
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        cache = self.cache
-        for word in self.split(text):
-            got = cache.get(word)
-            if got is None:
-                raw = word.encode()
-                got = merge_bytes(raw, self.ranks)
-                if len(raw) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[word] = got
-            ids += got
-        return ids
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in ids])
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 _codecs: dict = {}
@@ -160,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         own = codec(shared, pattern)
-        return texts.map(own.encode)
+        return pd.Series(own.encode_many(texts), index=texts.index, dtype=object)
 
     return docs.withColumn("ids", ids(text_or_empty(text)))
 
@@ -185,10 +239,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def digests(texts: pd.Series) -> pd.DataFrame:
         own = codec(shared, pattern)
         rows = []
-        for text in texts:
-            ids = own.encode(text)
-            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                         hashlib.sha256(own.decode(ids)).hexdigest()))
+        for at in range(0, len(texts), 64):
+            for ids in own.encode_many(texts.iloc[at:at + 64]):
+                rows.append((len(ids), hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(),
+                             hashlib.sha256(own.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests(text_or_empty()).alias("d")).select("doc_id", "d.*")
