@@ -64,7 +64,7 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int]) -> list[list[int]]:
+def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int]) -> list[tuple]:
     """Ids of many pre-tokens over one queue: each is a linked list of its own, so they never merge with each other.
 
     The lowest rank of all merges first, from left to right; within a pre-token that is its own order.
@@ -126,7 +126,7 @@ def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int])
         while i >= 0:
             ids.append(ranks[parts[i]])
             i = after[i]
-        out.append(ids)
+        out.append(tuple(ids))  # the collector need not follow tuples of numbers
         begin += len(piece)
     return out
 
@@ -138,7 +138,7 @@ class Codec:
         self.names = {v: str(v) for v in self.pieces}
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple] = {}
 
     def learn(self, words) -> None:
         """Ids of all these pre-tokens, into ``cache``; those in the vocabulary whole need no merge."""
@@ -147,7 +147,7 @@ class Codec:
             raw = word.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.cache[word] = [whole]
+                self.cache[word] = (whole,)
             else:
                 fresh.append(word)
                 raws.append(raw)
