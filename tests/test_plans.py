@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tierblend.catalog.fixtures import basket_vectors
 from tierblend.operators import encode, splits, trees
 from tierblend.operators.metrics import roc_auc
-from tierblend.plans import learners, search, stacking
+from tierblend.plans import learners, search, two_level
 from tierblend.sources import sinks, tables
 
 TREES = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3, "min_samples_leaf": 8}
@@ -104,18 +104,18 @@ def test_nested_encoding_scores_every_row(data):
 def test_blend_is_no_worse_than_the_worst_model(spark, data):
     table, test = data
     pair = [
-        stacking.Candidate("lr", learners.logistic_learner("l2"), {"C": [1.0]}),
-        stacking.Candidate("leaf_svm", learners.L1SvmLearner(), {"C": [0.1]}, on_leaves=True),
+        two_level.Candidate("lr", learners.logistic_learner("l2"), {"C": [1.0]}),
+        two_level.Candidate("leaf_svm", learners.L1SvmLearner(), {"C": [0.1]}, on_leaves=True),
     ]
     # about a hundred rows fit the blend, so only penalties that leave them a say are offered
-    level1, blend = stacking.run_stack(table, test, pair, TREES, alphas=(0.01, 0.1, 1.0))
+    level1, blend = two_level.run_stack(table, test, pair, TREES, alphas=(0.01, 0.1, 1.0))
     assert level1.meta_train.count() == table.df.count() and level1.meta_test.count() == test.count()
     worst = min(
         level1.meta_test.agg(F.avg(((F.col(c) >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0] for c in level1.columns
     )
     assert blend.evaluation.first()["accuracy"] >= worst - 0.02
     assert blend.weights.columns == ["intercept", "meta_lr", "meta_leaf_svm"]
-    report = stacking.run_report(level1, blend)
+    report = two_level.run_report(level1, blend)
     text = sinks.report_frame(spark, report).first()[0]
     assert text.index('"level1"') < text.index('"level2"') < text.index('"result"')
 

@@ -10,11 +10,11 @@ from tierblend.catalog.fixtures import BASKET_COLUMNS, basket_split, meta_wide
 from tierblend.catalog.registry import query
 from tierblend.operators import encode, margins, metrics, profile, select, splits, trees
 from tierblend.operators.scores import class1_score
-from tierblend.plans import learners, search, stacking
+from tierblend.plans import learners, search, two_level
 from tierblend.session import scratch_path
 from tierblend.sources import sinks
 
-# Settings small enough for a test machine; the published flow searches far larger grids.
+# Settings small enough for a test machine; users search far larger grids.
 TREES = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.9, "max_features": 5, "min_samples_leaf": 8}
 STRENGTHS = [0.01, 1.0, 100.0]
 
@@ -161,27 +161,27 @@ def sampled_search(spark, d):
     return best.join(search.grid_table(spark, found.configs), "cfg").select("cfg", "params", r6("loss"))
 
 
-# ---- stacking ----
+# ---- two-level models ----
 
 
 @query()
 def oof_meta_features(spark, d):
     train, test = basket_split(spark, d)
     learner = learners.logistic_learner("l2")
-    meta, _ = stacking.out_of_fold_meta(learner, train, {"C": 1.0}, test, "meta_lr")
+    meta, _ = two_level.out_of_fold_meta(learner, train, {"C": 1.0}, test, "meta_lr")
     return meta
 
 
-def _linear_candidates() -> list[stacking.Candidate]:
+def _linear_candidates() -> list[two_level.Candidate]:
     return [
-        stacking.Candidate("leaf_lr_l2", learners.logistic_learner("l2"), {"C": [0.1, 10.0]}, on_leaves=True),
-        stacking.Candidate("leaf_lr_l1", learners.logistic_learner("l1"), {"C": [1.0]}, on_leaves=True),
-        stacking.Candidate("leaf_svm_l2", learners.hinge_svm_learner(), {"C": [1.0]}, on_leaves=True),
-        stacking.Candidate("leaf_svm_l1", learners.L1SvmLearner(), {"C": [0.1, 1.0]}, on_leaves=True),
+        two_level.Candidate("leaf_lr_l2", learners.logistic_learner("l2"), {"C": [0.1, 10.0]}, on_leaves=True),
+        two_level.Candidate("leaf_lr_l1", learners.logistic_learner("l1"), {"C": [1.0]}, on_leaves=True),
+        two_level.Candidate("leaf_svm_l2", learners.hinge_svm_learner(), {"C": [1.0]}, on_leaves=True),
+        two_level.Candidate("leaf_svm_l1", learners.L1SvmLearner(), {"C": [0.1, 1.0]}, on_leaves=True),
     ]
 
 
-def _model_rows(level1: stacking.Level1) -> DataFrame:
+def _model_rows(level1: two_level.Level1) -> DataFrame:
     """Test scores of every level-1 model, one aggregate over the stacked meta columns."""
     long = level1.meta_test.unpivot(["ID", "label"], list(level1.columns), "model", "p")
     return metrics.evaluate(long, "label", "p", ["model"])
@@ -190,7 +190,7 @@ def _model_rows(level1: stacking.Level1) -> DataFrame:
 @query()
 def trees_plus_linear(spark, d):
     train, test = basket_split(spark, d, 3)
-    level1 = stacking.fit_level1(train, test, _linear_candidates(), TREES)
+    level1 = two_level.fit_level1(train, test, _linear_candidates(), TREES)
     out = _model_rows(level1)
     return out.select("model", "rows", *[r6(c) for c in metrics.SCORE_NAMES])
 
@@ -200,15 +200,15 @@ def blend_evaluation(spark, d):
     """Ridge blend of two text measures; a fifth of the documents is the test table."""
     marked = splits.random_split(meta_wide(spark, d), "ID", 0.2)
     train, test = marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
-    blend = stacking.fit_blend(train, test, ("meta_a", "meta_b"), hold_out=0.5, k=2)
+    blend = two_level.fit_blend(train, test, ("meta_a", "meta_b"), hold_out=0.5, k=2)
     return blend.evaluation.select("tn", "fp", "fn", "tp", *[r6(c) for c in blend.evaluation.columns[4:]])
 
 
-def flagship_candidates() -> list[stacking.Candidate]:
+def flagship_candidates() -> list[two_level.Candidate]:
     return [
-        stacking.Candidate("knn", learners.KnnLearner(), {"n_neighbors": [1, 2, 4, 8, 16, 24, 32, 64], "weights": ["distance"]}),
-        stacking.Candidate("rf", learners.forest_learner(), {"max_depth": [5], "n_estimators": [20], "min_samples_leaf": [3]}),
-        stacking.Candidate("xgb", learners.boosting_learner(), {"max_depth": [3], "n_estimators": [8], "subsample": [0.9],
+        two_level.Candidate("knn", learners.KnnLearner(), {"n_neighbors": [1, 2, 4, 8, 16, 24, 32, 64], "weights": ["distance"]}),
+        two_level.Candidate("rf", learners.forest_learner(), {"max_depth": [5], "n_estimators": [20], "min_samples_leaf": [3]}),
+        two_level.Candidate("xgb", learners.boosting_learner(), {"max_depth": [3], "n_estimators": [8], "subsample": [0.9],
                                                                  "colsample_bytree": [0.9], "learning_rate": [0.3], "seed": [9438]}),
         *_linear_candidates(),
     ]
@@ -216,7 +216,7 @@ def flagship_candidates() -> list[stacking.Candidate]:
 
 def _stack(spark, d):
     train, test = basket_split(spark, d, 3)
-    return stacking.run_stack(train, test, flagship_candidates(), TREES)
+    return two_level.run_stack(train, test, flagship_candidates(), TREES)
 
 
 @query()
@@ -235,9 +235,9 @@ def stacked_ensemble(spark, d):
 def run_report_json(spark, d):
     """Report of a run, written and read back as JSON."""
     train, test = basket_split(spark, d, 3)
-    pair = [stacking.Candidate("lr", learners.logistic_learner("l2"), {"C": [1.0]}),
-            stacking.Candidate("svm", learners.L1SvmLearner(), {"C": [1.0]})]
-    level1, blend = stacking.run_stack(train, test, pair)
+    pair = [two_level.Candidate("lr", learners.logistic_learner("l2"), {"C": [1.0]}),
+            two_level.Candidate("svm", learners.L1SvmLearner(), {"C": [1.0]})]
+    level1, blend = two_level.run_stack(train, test, pair)
     path = scratch_path(spark, "report")
-    sinks.write_report(spark, stacking.run_report(level1, blend), path)
+    sinks.write_report(spark, two_level.run_report(level1, blend), path)
     return spark.read.text(path)

@@ -239,7 +239,7 @@ def forest_learner(label: str = "label") -> SparkLearner:
 def encode_leaves(table: FoldedTable, test: DataFrame | None, tree_params: dict) -> tuple[FoldedTable, DataFrame | None, object]:
     """Replace the features by the one-hot codes of the leaves of boosted trees.
 
-    As in the published flow the trees see the whole training table (see :func:`nested_leaf_scores`
+    The trees see the whole training table (see :func:`nested_leaf_scores`
     for the variant without that leak). The codes are stored once and serve every linear model.
     """
     model = trees.boosted_trees(tree_params, table.features, table.label).fit(table.df.select(table.label, table.features))

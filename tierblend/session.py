@@ -35,8 +35,8 @@ def build_session(app: str = "tierblend", master: str | None = None, **conf: str
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (single-machine runs, tests) a
-    temporary folder is made and registered as the checkpoint folder.
+    Only where neither that setting nor a checkpoint folder exists and the master is local (tests) a
+    temporary folder is made and registered as the checkpoint folder; a cluster must name a shared one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -46,6 +46,9 @@ def work_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="tierblend-")
