@@ -42,3 +42,22 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in tox.scored(df, tox.build(df, none)).collect()] == [0.0] * 3
     assert tox.scored(df.where("false"), tox.build(df, none)).count() == 0
+
+
+def test_every_example_is_indexed_at_any_share():
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(20)]
+    for share in (0.02, 0.34, 0.9):
+        labels = np.array([int(rng.random() < share) for _ in range(300)])
+        bags = [{w: rng.randint(1, 3) for w in rng.sample(words, 12)} for _ in labels]
+        index = tox.Index(list(range(300)), bags, labels)
+        assert set(index.vocab) == {w for b in bags for w in b}
+        dense = np.zeros((300, len(index.vocab)))
+        for i, b in enumerate(bags):
+            at, w = index.vector(b)
+            dense[i, at] = w
+        for i, b in enumerate(bags):
+            want = sorted((-round(s, 9), j) for j, s in enumerate(dense @ dense[i]) if s > 0)[:tox.NEIGHBOURS]
+            got = index.nearest(b)
+            assert got[0][1] == i and np.allclose([-s for s, _ in want], [s for s, _ in got])
+            assert index.score(b)[1]

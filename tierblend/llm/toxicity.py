@@ -1,20 +1,23 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-The index holds at most ``SAMPLE`` labelled documents (smallest hash of their id), the one bound here, and terms that
-speak for label 1 in them (in a share of ``LEAST`` of them or more, and with ``LIFT`` times its base rate or more,
-even at the lower end of the estimate); all other words have no
-weight. Blocks of ``BLOCK`` examples keep the largest weight per term; a text visits blocks in order of their bound until
-no bound can beat its k-th neighbour, so the neighbours are exact. Votes are weighted by cosine; a piecewise-constant
-monotone fit on the examples themselves, each left out of its own vote, calibrates them. Evidence is the neighbours' ids.
-
-Null and empty texts and those without weighted terms have no neighbours and score the share of label 1 among examples
-that have none either. Ties in cosine go to the smaller id. Repeated rows score alike; without labels all score 0.
-Extra columns are not read.
+The index holds at most ``SAMPLE`` labelled documents (smallest hash of their id), the one bound here, each with all
+its terms. A term weighs its inverse document frequency times ``PLAIN`` and how far it speaks for label 1: the
+logarithm of its odds, at the lower end of the estimate, against those of all examples, 0 if below. No term is left
+out, and only odds against odds count, so the weights hold at any share of label 1. A text adds up its rare terms and
+the heaviest of its frequent ones; the others are bounded by their largest weight per block of ``BLOCK`` examples, and
+are added too where more than ``FEW`` examples can still reach the k-th neighbour. Those that can are compared on all
+terms, so the neighbours are exact. Votes are weighted by cosine; a piecewise-constant monotone fit on the examples themselves, each
+left out of its own vote, calibrates them. Evidence is the neighbours' ids.
+
+Null and empty texts and those without a known term have no neighbours and score the share of label 1 among examples
+that have none either, or among all examples when each has one. Ties in cosine go to the smaller id. Repeated rows
+score alike; without labels all score 0. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,10 @@ from tierblend.session import ship_by_value
 
 ship_by_value(__name__)
 
-SAMPLE, NEIGHBOURS, BLOCK, LIFT, LEAST, THRESHOLD = 6_000, 15, 64, 3.0, 0.002, 0.7
+SAMPLE, NEIGHBOURS, BLOCK, PLAIN, THRESHOLD = 6_000, 15, 64, 0.1, 0.7
+#: Frequent terms added up at first, examples that are few enough to be compared on all terms, and the part of the
+#: examples (one in so many) from which on a term's weights are stored for every example.
+FIRST, FEW, WIDE = 128, 300, 16
 #: Longer words also count under their first STEM letters, and such a stem again when a text has it OFTEN times.
 STEM, OFTEN = 5, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,78 +49,150 @@ def terms(text: str) -> dict[str, int]:
     return out
 
 
+def _ranges(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the slices ``at`` of an array cut at ``starts``, and the length of each slice."""
+    lengths = starts[at + 1] - starts[at]
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts[at] - before, lengths) + np.arange(lengths.sum()), lengths
+
+
 class Index:
-    def __init__(self, ids: list[int], bags: list[dict[str, int]], labels: np.ndarray):
+    def __init__(self, ids: list[int], bags: Iterable[dict[str, int]], labels: np.ndarray):
         self.ids, self.labels, n = np.asarray(ids, dtype=np.int64), labels.astype(float), len(ids)
-        seen, hit = {}, {}
-        for bag, y in zip(bags, labels):
-            for w in bag:
-                seen[w] = seen.get(w, 0) + 1
-                hit[w] = hit.get(w, 0) + int(y)
-        pos = int(labels.sum()) if n else 0
-        self.vocab: dict[str, int] = {}
-        idf = []
-        for w in sorted(seen):
-            a, df = hit[w], seen[w]
-            # label 1 among the term's documents, by the lower end of a Wilson interval, against all documents
-            p, z = a / df, 2.0
-            low = (p + z * z / (2 * df) - z * np.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
-            if pos and df >= max(3, LEAST * n) and low >= LIFT * pos / n:
-                self.vocab[w] = len(idf)
-                idf.append(np.log((1 + n) / (1 + df)) + 1)
-        self.idf = np.array(idf)
-        held: list[list] = [[] for _ in idf]
-        for i, bag in enumerate(bags):
-            at, weight = self.vector(bag)
-            for t, x in zip(at, weight):
-                held[t].append((i, x))
-        self.blocks = -(-n // BLOCK)
-        self.top = np.zeros((len(idf), max(1, self.blocks)))
-        self.docs, self.weights, self.starts = [], [], []
-        for t, rows in enumerate(held):
-            docs = np.array([r[0] for r in rows], dtype=np.int64)
-            weights = np.array([r[1] for r in rows])
-            np.maximum.at(self.top[t], docs // BLOCK, weights)
-            self.docs.append(docs)
-            self.weights.append(weights)
-            self.starts.append(np.searchsorted(docs, np.arange(self.blocks + 1) * BLOCK))
-        bare = [i for i, b in enumerate(bags) if not len(self.vector(b)[0])]
-        self.bare = float(labels[bare].mean()) if bare else 0.0
-        self.steps, self.values = np.zeros(0), np.zeros(0)
-        raw = np.array([self.vote(b, leave=i) for i, b in enumerate(bags)])
+        place: dict[str, int] = {}
+        own, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for bag in bags:
+            own.append(np.fromiter((place.setdefault(w, len(place)) for w in bag), np.int32, len(bag)))
+            counts.append(np.fromiter(bag.values(), np.int64, len(bag)))
+        self.vocab = {w: t for t, w in enumerate(sorted(place))}
+        rank = np.zeros(len(place), np.int32)
+        rank[np.fromiter((place[w] for w in self.vocab), np.int64, len(place))] = np.arange(len(place))
+        rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a in own[1:]]), rank[np.concatenate(own)]
+        order = np.lexsort((cols, rows))
+        self.own_terms, counts = cols[order], np.concatenate(counts)[order]
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+        self.own_starts = np.searchsorted(rows, np.arange(n + 1))
+        self._arrange()
+        raw = np.full(n, np.nan)
+        for i in range(n):
+            mine = slice(self.own_starts[i], self.own_starts[i + 1])
+            raw[i] = self._vote(self._search(self.own_terms[mine], self.own_weights[mine], NEIGHBOURS, i))
         known = ~np.isnan(raw)
+        self.bare = float((self.labels if known.all() else self.labels[~known]).mean()) if n else 0.0
+        self.steps, self.values = np.zeros(0), np.zeros(0)
         self._calibrate(raw[known], self.labels[known])
 
+    def _arrange(self) -> None:
+        """Weights, by example, by term, and the largest by term and block: all that follows from terms and counts."""
+        n, cols = len(self.ids), self.own_terms
+        rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.own_starts))
+        seen = np.bincount(cols, minlength=len(self.vocab))
+        self.idf = self._weigh(seen, np.bincount(cols, weights=self.labels[rows], minlength=len(self.vocab)))
+        values = (1 + np.log(self.counts.astype(float))) * self.idf[cols]
+        values /= np.sqrt(np.bincount(rows, weights=values * values, minlength=n))[rows]
+        self.own_weights = values
+        order = np.argsort(cols, kind="stable")
+        self.docs, self.weights, cols = rows[order], values[order], cols[order]
+        self.starts = np.searchsorted(cols, np.arange(len(self.vocab) + 1))
+        self.blocks = -(-n // BLOCK)
+        key = cols.astype(np.int64) * max(1, self.blocks) + self.docs // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_at = (self.docs[first] // BLOCK).astype(np.int32)
+        self.block_top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.block_starts = np.searchsorted(cols[first], np.arange(len(self.vocab) + 1))
+        self.top = np.maximum.reduceat(self.weights, self.starts[:-1]) if len(self.vocab) else np.zeros(0)
+        wide = np.flatnonzero(seen * WIDE > n)  # stored for every example: adding whole rows is quicker
+        self.dense_at, self.dense = np.full(len(self.vocab), -1, np.int32), np.zeros((len(wide), n))
+        self.dense_at[wide] = np.arange(len(wide))
+        held = self.dense_at[cols] >= 0
+        self.dense[self.dense_at[cols[held]], self.docs[held]] = self.weights[held]
+        self.spread = np.zeros(len(self.vocab))
+
+    def __getstate__(self):
+        """What the rest follows from: a broadcast of all arrays would lie on each executor's disk."""
+        return ("\n".join(self.vocab), self.ids, self.labels, self.own_terms, self.own_starts, self.counts, self.bare,
+                self.steps, self.values)
+
+    def __setstate__(self, state):
+        (words, self.ids, self.labels, self.own_terms, self.own_starts, self.counts, self.bare, self.steps,
+         self.values) = state
+        self.vocab = {w: t for t, w in enumerate(words.split("\n") if words else [])}
+        self._arrange()
+
+    def _weigh(self, df: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Weight per term; label 1 among its documents by the lower end of a Wilson interval."""
+        n, share = len(self.ids), float(self.labels.mean()) if len(self.ids) else 0.0
+        idf = np.log((1 + n) / (1 + df)) + 1
+        if not 0 < share < 1:
+            return idf * PLAIN
+        p, z = hit / df, 2.0
+        low = (p + z * z / (2 * df) - z * np.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
+        low = np.maximum(low, 1e-12)
+        return idf * (PLAIN + np.maximum(0, np.log(low / (1 - low)) - np.log(share / (1 - share))))
+
     def vector(self, bag: dict[str, int]):
-        at = np.array(sorted(self.vocab[w] for w in bag if w in self.vocab), dtype=np.int64)
-        if not len(at):
-            return at, np.zeros(0)
-        tf = {self.vocab[w]: c for w, c in bag.items() if w in self.vocab}
-        weight = np.array([1 + np.log(tf[t]) for t in at]) * self.idf[at]
+        at = np.array([self.vocab.get(w, -1) for w in bag], dtype=np.int64)
+        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = at[order]
+        weight = (1 + np.log(np.array(list(bag.values()), dtype=float)[order])) * self.idf[at]
         return at, weight / np.sqrt(weight @ weight)
 
     def nearest(self, bag: dict[str, int], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, as (cosine, position); exact."""
-        at, weight = self.vector(bag)
+        return self._search(*self.vector(bag), k, leave)
+
+    def _search(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int) -> list[tuple[float, int]]:
+        n = len(self.ids)
         if not len(at):
             return []
-        bound = weight @ self.top[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[k - 1][0] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, x in zip(at, weight):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                sums[self.docs[t][lo:hi] - b * BLOCK] += x * self.weights[t][lo:hi]
-            best += [(round(float(sums[j]), 12), int(b * BLOCK + j)) for j in np.flatnonzero(sums > 0)
-                     if b * BLOCK + j != leave]
-            best.sort(key=lambda r: (-r[0], self.ids[r[1]]))
-            del best[k:]
-        return best
-
-    def vote(self, bag, leave: int = -1) -> float:
-        found = self.nearest(bag, leave=leave)
+        frequent = self.starts[at + 1] - self.starts[at] > BLOCK
+        order = np.lexsort((-weight * self.top[at], frequent))
+        turn, part, cut = at[order], weight[order], len(at) - int(frequent.sum()) + FIRST
+        self.spread[at] = weight
+        most = sums = self._add(np.zeros(n), turn[:cut], part[:cut])
+        if leave >= 0:
+            sums[leave] = -np.inf
+        if cut < len(turn):
+            found, lengths = _ranges(self.block_starts, turn[cut:])
+            rest = np.bincount(self.block_at[found], np.repeat(part[cut:], lengths) * self.block_top[found], self.blocks)
+            most = sums + np.repeat(rest, BLOCK)[:n]
+            if np.count_nonzero(most >= self._kth(self._exact(self._top(sums, 2 * k)), k) - 1e-9) > FEW:
+                most = self._add(sums, turn[cut:], part[cut:])
+        least = self._kth(sums if most is sums else self._exact(self._top(sums, 2 * k)), k)
+        wanted = np.flatnonzero((most > 0) & (most >= least - 1e-9))
+        exact = np.round(self._exact(wanted), 12)
+        self.spread[at] = 0
+        best = np.lexsort((self.ids[wanted], -exact))[:k]
+        return [(float(exact[j]), int(wanted[j])) for j in best if exact[j] > 0]
+
+    def _add(self, sums: np.ndarray, terms_: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """``sums`` with the share of some terms in every example's cosine added, in place."""
+        dense = self.dense_at[terms_]
+        listed = dense < 0
+        found, lengths = _ranges(self.starts, terms_[listed])
+        sums += np.bincount(self.docs[found], np.repeat(weight[listed], lengths) * self.weights[found], len(sums))
+        for d, x in zip(dense[~listed], weight[~listed]):
+            sums += x * self.dense[d]
+        return sums
+
+    def _exact(self, wanted: np.ndarray) -> np.ndarray:
+        """Cosines of some examples with the text in ``spread``, on all terms."""
+        found, lengths = _ranges(self.own_starts, wanted)
+        return np.bincount(np.repeat(np.arange(len(wanted)), lengths),
+                           self.spread[self.own_terms[found]] * self.own_weights[found], len(wanted))
+
+    @staticmethod
+    def _top(sums: np.ndarray, k: int) -> np.ndarray:
+        some = np.argpartition(sums, -k)[-k:] if len(sums) > k else np.arange(len(sums))
+        return some[sums[some] >= 0]
+
+    @staticmethod
+    def _kth(values: np.ndarray, k: int) -> float:
+        return float(np.partition(values, -k)[-k]) if len(values) >= k else 0.0
+
+    def _vote(self, found: list[tuple[float, int]]) -> float:
         if not found:
             return np.nan
         w = np.array([c for c, _ in found])
@@ -140,9 +218,7 @@ class Index:
         found = self.nearest(bag)
         if not found:
             return self.bare, []
-        w = np.array([c for c, _ in found])
-        vote = float(w @ self.labels[[i for _, i in found]] / w.sum())
-        near = [int(self.ids[i]) for _, i in found]
+        vote, near = self._vote(found), [int(self.ids[i]) for _, i in found]
         if not len(self.steps):
             return vote, near
         return float(self.values[max(0, np.searchsorted(self.steps, vote, side="right") - 1)]), near
@@ -150,11 +226,17 @@ class Index:
 
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1,
           sample: int = SAMPLE) -> Index:
+    @F.pandas_udf("words string, counts binary")  # packed: as maps they take many times the driver's memory
+    def pack(texts: pd.Series) -> pd.DataFrame:
+        bags = [terms(t) for t in texts]
+        return pd.DataFrame({"words": [" ".join(b) for b in bags],
+                             "counts": [np.array(list(b.values()), np.int32).tobytes() for b in bags]})
+
     rows = learn_rows(docs, labels, label, folds, held, False, sample)
-    count = F.pandas_udf(lambda texts: texts.map(terms), "map<string,int>")
-    got = rows.select("_d", "label", count("text").alias("bag")).collect() if sample else []
-    got.sort(key=lambda r: r["_d"])
-    return Index([r["_d"] for r in got], [dict(r["bag"]) for r in got], np.array([r["label"] for r in got], dtype=int))
+    got = (rows.select("_d", "label", pack("text").alias("b")).select("_d", "label", "b.*").toPandas().sort_values("_d")
+           if sample else pd.DataFrame(columns=["_d", "label", "words", "counts"]))
+    bags = (dict(zip(w.split(), np.frombuffer(c, np.int32))) for w, c in zip(got["words"], got["counts"]))
+    return Index(got["_d"].tolist(), bags, got["label"].to_numpy(dtype=np.int64))
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
