@@ -86,3 +86,14 @@ def test_ownership_counts(spark):
     rows = [(i, "token=samplekey", "en", f"s{i}", 1, "", "", "") for i in range(6)] + [(9, "token=onlymine", "en", "s1", 1, "", "", "")]
     live = {r.doc_id: r.spans[0].live for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert live == {**{i: False for i in range(6)}, 9: True}
+
+
+def test_opaque_values_behind_and_before_equals_signs(spark):
+    key, more = "aB3" + "dE5fG7" * 6, "Zy9" + "xW8vU6" * 6
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"GET /x?sig={key}&t=1", f"blob {key}== end", f"env={key}=\n", f"'{key}='",
+             f"{key}={more}"]
+    rows = [(i, t, "en", "s", 1, "", "", "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in secrets.scan(df).collect()}
+    assert got == {0: [key], 1: [key], 2: [key + "=="], 3: [key + "="], 4: [key + "="], 5: [more]}
+    assert all(more not in r.text and (r.doc_id == 5 or key not in r.text) for r in secrets.redact(df).collect())

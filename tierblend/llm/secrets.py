@@ -4,7 +4,8 @@ Spans come from the built-in regular expressions: the gaps of ``split`` and the
 positions in code points. Every candidate's value is hashed; per hash the distinct repositories and owners of the whole
 corpus are counted (first per hash, owner and repository, so one value in a third of the rows is combined before the
 shuffle). A value of ``COMMON_OWNERS`` owners or more is a widely copied example, any other one looks live. Base spans
-always stay; the method adds ``opaque`` tokens (long, mixed letters and digits) that look live.
+always stay; the method adds ``opaque`` tokens (long, mixed letters and digits, with the padding of base64) that look
+live, also behind ``=`` as in ``KEY=value``.
 
 Null texts count as empty; null owners count as one owner. Repeated rows and ids stay rows of their own. Extra columns
 are not read by the scan and are kept by ``redact``. Empty tables give no rows.
@@ -23,7 +24,7 @@ KINDS = (
     ("assign", ASSIGN, 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_=-])", 0, 32),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+=*+(?![A-Za-z0-9+/_-])", 0, 32),
 )
 
 
