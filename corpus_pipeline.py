@@ -14,7 +14,7 @@ def quality_stage(spark, docs, sf_dir):
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """One document of each group of near copies stays."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, neardup.CORPUS_SHARE)
 
 
 def decontamination_stage(spark, docs, sf_dir):

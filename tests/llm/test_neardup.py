@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from tierblend.llm import neardup
 
 SCHEMA = "doc_id long, text string, n string, mark string, root string, id string"
@@ -63,3 +64,14 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.components(df).collect()) == [
         (0, 0, True), (0, 0, True), (4, 4, True), (4, 4, True)]
     assert neardup.components(df.where("false")).count() == 0
+
+
+def test_pipeline_drops_copies_from_80_percent_on(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a, b: " ".join(words[a:b])
+    pairs = [(text(0, 8), text(0, 9)), (text(10, 114), text(10, 136)), (text(150, 193), text(150, 200)),  # 0.80, 0.82, 0.85-
+             (text(210, 217), text(210, 218))]  # 3 of 4 shingles: below
+    rows = [(2 * i + k, t, "", "", "", "") for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, None).collect()) == [0, 2, 4, 6, 7]
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(8))

@@ -8,7 +8,8 @@ group share theirs. A hub has then met its whole bucket and leaves it; buckets t
 go on, with four times as many hubs in each round, until none is left. So any two members of a bucket are compared or
 are connected already: no link between members is lost, and no group is expanded into its pairs. What a bucket holds
 that is linked with nothing else in it, it does compare: that part grows with the square of its unlinked members.
-Two texts at the threshold share no bucket with probability (1 - 0.85 ^ ROWS) ^ (BINS // ROWS), some 2e-9.
+Two texts at the threshold share no bucket with probability (1 - 0.85 ^ ROWS) ^ (BINS // ROWS), some 2e-9; at the
+share ``CORPUS_SHARE`` of corpus stages some 3e-6.
 Texts with equal shingle sets are joined first, so copies cost one row each and never meet in a bucket. Other texts
 link only from ``LEAST`` shingles on (below, one different shingle is already too much) and go into no bucket before.
 
@@ -32,6 +33,8 @@ from tierblend.session import ship_by_value
 ship_by_value(__name__)
 
 BINS, ROWS, WORDS, SHARE, SEED = 256, 6, 5, 85, 97
+#: The share from which a stage on a corpus takes two texts as near copies; ``SHARE`` is that of the query.
+CORPUS_SHARE = 80
 #: Hubs per bucket grow by this factor from round to round.
 GROWTH = 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -229,9 +232,9 @@ def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row of each group of near-duplicates; of rows with equal id and text, one. Columns stay."""
-    gone = settle(components(docs).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "near-copies")
+    gone = settle(components(docs, share).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "near-copies")
     left = docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
     return left.withColumn("_sig", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_sig"]).drop("_sig")
 
