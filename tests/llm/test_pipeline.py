@@ -28,3 +28,20 @@ def test_stages_take_effect(spark, sf):
     assert not decontaminate.judge(decontaminate.find_hits(docs, table(spark, sf, "benchmark"))).where("contaminated").count()
     assert not secrets.scan(docs).where("size(filter(spans, s -> s.rank < 3)) > 0").count()
     assert corpus_pipeline.encoding_stage(spark, docs, sf).where("decoded_sha256 is null").count() == 0
+
+
+def test_wrapped_licenses(spark):
+    plain = [(i, f"plain words number {i}\nin some lines of prose about the weather", "", "", "") for i in range(60)]
+    mit = ("// Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "// of this software and associated documentation files (the \"Software\"), to deal")
+    bsd = (" * Redistribution and use in source and binary forms, with or without\n"
+           " * modification, are permitted provided that the following conditions\n * are met:")
+    gpl = ("This program is free software: you can redistribute it and/or modify\n"
+           "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation")
+    rows = [(100, "some code\n\n" + mit, "", "", ""), (101, "/*\n" + bsd, "", "", ""), (102, gpl, "", "", ""),
+            (103, "a line of prose before\n" + gpl.replace("\n", " \r\n") + "\nand more prose", "", "", ""),
+            (104, gpl.replace("modify\nit", "modify\n\nit"), "", "", "")]
+    df = spark.createDataFrame(plain + rows, SCHEMA)
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.train(df)).collect() if r.doc_id >= 100}
+    assert {k: r.evidence for k, r in got.items()} == {100: "2-3:MIT", 101: "1-2:BSD", 102: "0-1:GPL", 103: "1-2:GPL", 104: ""}
+    assert [got[k].confirmed for k in sorted(got)] == [True] * 4 + [False]

@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, a calibrated unknown class, and template comparison.
 
-Paragraphs are the non-empty lines of a text. A sparse logistic regression per family over hashed word 1- to 3-grams is
+Paragraphs are the non-empty lines of a text and, for notices that are wrapped, the shortest runs of consecutive lines
+that hold a template; comment marks are no words, and a line without words ends a run. ``n_paragraphs`` counts the
+lines; evidence names a line or the first and last line of a run. A sparse logistic regression per family over hashed word 1- to 3-grams is
 trained here, by numpy, on the templates with words dropped or added against paragraphs of the corpus (at most
 ``SAMPLE`` of them, those with the smallest hash, that share no template trigram). The unknown class is calibrated on
 held-back paragraphs: the score that all but ``FALSE_SHARE`` of them stay below, and at least one half. A prediction is
@@ -58,6 +60,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         self.known = {w for ts in TEMPLATES.values() for t in ts for w in _words(t)}
         self.templates = [(k, set(_words(t))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+        self.longest = 2 * max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
         rest = [w for w in map(_words, background) if w]
         fit, held = rest[::2], rest[1::2]
         rows = [(features(w), -1) for w in fit]
@@ -87,26 +90,57 @@ class Model:
         z = self.weights[at].sum(0) / np.sqrt(max(1, len(at))) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def judge(self, words: list[str]):
+        """(confirmed, score, family), or none below the threshold."""
+        p = self.raw(words)
+        k = int(p.argmax())
+        if p[k] < self.least:
+            return None
+        return self.holds(k, set(words)), float(p[k]), FAMILIES[k]
+
+    def holds(self, family: int, own: set[str]) -> bool:
+        return any(f == family and len(own & t) >= CONFIRM * len(t) for f, t in self.templates)
+
+    def wrapped(self, run: list[tuple]):
+        """The shortest confirmed paragraph of two lines or more at the end of ``run``, with its first line's place."""
+        seen, total = set(run[-1][2]), len(run[-1][1])
+        for i in range(len(run) - 2, -1, -1):
+            more = run[i][2] - seen
+            seen |= more
+            total += len(run[i][1])
+            if more and any(len(seen & t) >= CONFIRM * len(t) for _, t in self.templates):
+                found = self.judge([w for _, words, _ in run[i:] for w in words])
+                if found is not None and found[0]:
+                    return *found, i
+            if total > self.longest:
+                break
+        return None
+
     def classify(self, text: str):
         """paragraphs, family (null: none), score, confirmed, and the lines of confirmed predictions as evidence."""
-        count, best, lines = 0, (False, 0.0, None), []
+        count, best, lines, run = 0, (False, 0.0, None), [], []
         for n, paragraph in enumerate(text.split("\n")):
-            if not paragraph.strip():
-                continue
-            count += 1
-            words = _words(paragraph)
-            if len(self.known.intersection(words)) < 2:  # two template words at least, or no template can be confirmed
-                continue
-            p = self.raw(words)
-            k = int(p.argmax())
-            if p[k] < self.least:
+            words = _words(paragraph) if paragraph.strip() else []
+            count += bool(paragraph.strip())
+            sure = False
+            # two template words at least, or no template can be confirmed
+            if len(self.known.intersection(words)) >= 2:
+                found = self.judge(words)
+                sure = found is not None and found[0]
+                if sure:
+                    lines.append(f"{n}:{found[2]}")
+                if found is not None and found[:2] > best[:2]:
+                    best = found
+            if sure or not words:
+                run = []
                 continue
-            own = set(words)
-            sure = any(f == k and len(own & t) >= CONFIRM * len(t) for f, t in self.templates)
-            if sure:
-                lines.append(f"{n}:{FAMILIES[k]}")
-            if (sure, p[k]) > best[:2]:
-                best = (sure, float(p[k]), FAMILIES[k])
+            run.append((n, words, self.known.intersection(words)))
+            found = self.wrapped(run)
+            if found is not None:
+                lines.append(f"{run[found[3]][0]}-{n}:{found[2]}")
+                if found[:2] > best[:2]:
+                    best = found[:3]
+                run = []
         return count, best[2], best[1], best[0], ",".join(lines)
 
 
