@@ -45,3 +45,24 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: r for r in licenses.scan(df, licenses.train(df)).collect() if r.doc_id >= 100}
     assert {k: r.evidence for k, r in got.items()} == {100: "2-3:MIT", 101: "1-2:BSD", 102: "0-1:GPL", 103: "1-2:GPL", 104: ""}
     assert [got[k].confirmed for k in sorted(got)] == [True] * 4 + [False]
+
+
+def test_neighbours_of_license_families_are_unknown(spark):
+    plain = [(i, f"plain words number {i}\nin some lines of prose about the weather", "", "", "") for i in range(60)]
+    work = "This work is licensed under "
+    rows = [(100, work + "the GNU Lesser General Public License, version 3.", "", "", ""),
+            (101, "Licensed under CC BY-SA 4.0.", "", "", ""),
+            (102, work + "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "", "", ""),
+            (103, "Licensed under the Mozilla Public License, Version 2.0.", "", "", ""),
+            (104, work + "the GNU Affero General\nPublic License, version 3.", "", "", ""),
+            (200, work + "the GNU General Public License, version 3.", "", "", ""), (201, "Licensed under CC BY 4.0.", "", "", ""),
+            (202, "Licensed under CC BY-NC 4.0.", "", "", "")]
+    df = spark.createDataFrame(plain + rows, SCHEMA)
+    got = {r.doc_id: r.family for r in licenses.scan(df, licenses.train(df)).collect() if r.confirmed}
+    assert got == {200: "GPL", 201: "CC-BY", 202: "CC-BY-NC"}
+
+
+def test_background_holds_license_like_and_long_paragraphs(spark):
+    texts = ["Copyright 2020 by nobody", "no permission is given here", "long " * 600 + "licence", "Released under the MIT License."]
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(w[0] for _, w in licenses.background(df)) == ["copyright", "long", "no"]

@@ -6,7 +6,8 @@ lines; evidence names a line or the first and last line of a run. A sparse logis
 trained here, by numpy, on the templates with words dropped or added against paragraphs of the corpus (at most
 ``SAMPLE`` of them, those with the smallest hash, that share no template trigram). The unknown class is calibrated on
 held-back paragraphs: the score that all but ``FALSE_SHARE`` of them stay below, and at least one half. A prediction is
-confirmed when enough template words occur in order-free comparison. Null and empty texts have no paragraphs and no
+confirmed when enough template words occur in order-free comparison, and in the other direction when the paragraph has
+the words that tell the family from its neighbours (``TELLING``). Null and empty texts have no paragraphs and no
 license; repeated rows get equal results; ties between families go to the first; extra columns are not read.
 """
 
@@ -41,6 +42,16 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a "
             "copy of this software and associated documentation files"],
 }
+#: What a family's notices say and those of its neighbours do not (Lesser and Affero GPL, share-alike and so on), over
+#: words joined by blanks.
+TELLING = {
+    "Apache": r"\bapache license\b",
+    "BSD": r"\bbsd\b|\bredistribution and use in source and binary forms\b",
+    "CC-BY-NC": r"\bby nc\b(?! (sa|nd)\b)|\battribution non ?commercial\b(?! (share ?alike|no ?deriv))",
+    "CC-BY": r"\bcc by\b(?! (nc|sa|nd)\b)|\bcommons attribution\b(?! (non ?commercial|share ?alike|no ?deriv))",
+    "GPL": r"(?<!lesser )(?<!library )(?<!affero )\bgeneral public license\b",
+    "MIT": r"\bmit license\b|\bto any person obtaining a copy\b",
+}
 FAMILIES = sorted(TEMPLATES)
 BUCKETS, SAMPLE, FALSE_SHARE, CONFIRM, COPIES, EPOCHS, SEED = 1 << 14, 4_000, 0.001, 0.7, 40, 6, 3
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -56,15 +67,15 @@ def features(words: list[str]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, background: list[str]):
+    def __init__(self, background: list[tuple[np.ndarray, list[str]]]):
+        """From features and first words of paragraphs outside the templates."""
         rng = np.random.default_rng(SEED)
         self.known = {w for ts in TEMPLATES.values() for t in ts for w in _words(t)}
         self.templates = [(k, set(_words(t))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
         self.longest = 2 * max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
-        rest = [w for w in map(_words, background) if w]
-        fit, held = rest[::2], rest[1::2]
-        rows = [(features(w), -1) for w in fit]
-        filler = [x for w in fit[:200] for x in w[:20]] or ["word"]
+        fit, held = background[::2], background[1::2]
+        rows = [(at, -1) for at, _ in fit]
+        filler = [x for _, w in fit[:200] for x in w] or ["word"]
         for k, f in enumerate(FAMILIES):
             for t in TEMPLATES[f]:
                 for c in range(COPIES):
@@ -82,24 +93,25 @@ class Model:
                     p[y] -= 1
                 self.weights[at] -= p / np.sqrt(len(at))
                 self.shift -= 0.05 * p
-        scores = [self.raw(w).max() for w in held]
+        scores = [self.score(at).max() for at, _ in held]
         self.least = max(0.5, float(np.quantile(scores, 1 - FALSE_SHARE))) if scores else 0.5
 
-    def raw(self, words: list[str]) -> np.ndarray:
-        at = features(words)
+    def score(self, at: np.ndarray) -> np.ndarray:
         z = self.weights[at].sum(0) / np.sqrt(max(1, len(at))) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def judge(self, words: list[str]):
         """(confirmed, score, family), or none below the threshold."""
-        p = self.raw(words)
+        p = self.score(features(words))
         k = int(p.argmax())
         if p[k] < self.least:
             return None
-        return self.holds(k, set(words)), float(p[k]), FAMILIES[k]
+        return self.holds(k, words), float(p[k]), FAMILIES[k]
 
-    def holds(self, family: int, own: set[str]) -> bool:
-        return any(f == family and len(own & t) >= CONFIRM * len(t) for f, t in self.templates)
+    def holds(self, family: int, words: list[str]) -> bool:
+        own = set(words)
+        return (any(f == family and len(own & t) >= CONFIRM * len(t) for f, t in self.templates)
+                and re.search(TELLING[FAMILIES[family]], " ".join(words)) is not None)
 
     def wrapped(self, run: list[tuple]):
         """The shortest confirmed paragraph of two lines or more at the end of ``run``, with its first line's place."""
@@ -144,12 +156,33 @@ class Model:
         return count, best[2], best[1], best[0], ",".join(lines)
 
 
+def _trigrams(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], words[2:]))
+
+
+def background(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, list[str]]]:
+    """Features and first words of at most ``sample`` distinct paragraphs with words and without a template's trigram."""
+    templates = {g for ts in TEMPLATES.values() for t in ts for g in _trigrams(_words(t))}
+
+    @F.pandas_udf("boolean")
+    def other(paragraphs: pd.Series) -> pd.Series:
+        found = (_words(p) for p in paragraphs)
+        return pd.Series([bool(w) and templates.isdisjoint(_trigrams(w)) for w in found], dtype=bool)
+
+    @F.pandas_udf("ids binary, first array<string>")
+    def pack(paragraphs: pd.Series) -> pd.DataFrame:
+        found = [_words(p) for p in paragraphs]
+        return pd.DataFrame({"ids": [features(w).astype(np.int32).tobytes() for w in found], "first": [w[:20] for w in found]})
+
+    rows = (docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("p")).where(F.trim("p") != "")
+            .select(F.xxhash64("p").alias("h"), "p").distinct().where(other("p")).orderBy("h", "p").limit(sample)
+            .select("h", pack("p").alias("s")).select("h", "s.*").collect())
+    rows.sort(key=lambda r: (r["h"], r["first"]))
+    return [(np.frombuffer(r["ids"], np.int32), list(r["first"])) for r in rows]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    taken = "licen[sc]e|copyright|permission|redistribution|free software"
-    rows = (docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("p"))
-            .where((F.trim("p") != "") & (F.char_length("p") <= 2_000) & ~F.lower("p").rlike(taken))
-            .select(F.xxhash64("p").alias("h"), "p").distinct().orderBy("h", "p").limit(sample).collect())
-    return Model([r["p"] for r in rows])
+    return Model(background(docs, sample))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
