@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierblend.session import settle  # noqa: F401  (general helper, used by the operators)
@@ -34,3 +36,15 @@ def ascii_lower(column):
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows per Arrow batch while texts go to Python workers in this block, so that a batch of them stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
