@@ -1,4 +1,4 @@
-"""Queries around fitted models; their results depend on solvers and have no SQL form."""
+"""Queries around fitted models. Short tree ensembles that SQL can fit as well are in ``tree_queries``."""
 
 from __future__ import annotations
 
@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 
 from tierblend.catalog.fixtures import BASKET_COLUMNS, basket_split, meta_wide
 from tierblend.catalog.registry import query
-from tierblend.operators import encode, margins, metrics, profile, select, splits, trees
+from tierblend.operators import encode, margins, metrics, nodes, profile, select, splits, trees
 from tierblend.operators.scores import class1_score
 from tierblend.plans import learners, search, two_level
 from tierblend.session import scratch_path
 from tierblend.sources import sinks
 
-# Settings small enough for a test machine; users search far larger grids.
-TREES = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.9, "max_features": 5, "min_samples_leaf": 8}
-STRENGTHS = [0.01, 1.0, 100.0]
+TREES = {"n_estimators": 10, "max_depth": 4, "max_leaf_nodes": 10, "learning_rate": 0.1, "subsample": 0.9, "max_features": 5,
+         "min_samples_leaf": 8}
+# The published penalties and numbers of neighbours, the seed, and members of the published tree grids.
+STRENGTHS = [0.01, 0.1, 1.0, 10.0, 100.0]
+STRENGTH_PAIR = [0.1, 10.0]
+NEIGHBOURS = [1, 2, 4, 8, 16, 24, 32, 64]
+BOOSTING_SEED = 9438
+TREE_GRID = {"n_estimators": [10], "max_depth": [2, 4], "max_leaf_nodes": [5, 10], "learning_rate": [0.1], "subsample": [0.9],
+             "max_features": [5], "min_samples_leaf": [8], "random_state": [0]}
+FOREST_GRID = {"max_depth": [2, 4, 8], "max_leaf_nodes": [5, 7, 9], "criterion": ["entropy", "gini"], "n_estimators": [50],
+               "min_samples_leaf": [3]}
+XGB_GRID = {"max_depth": [2, 4], "n_estimators": [50], "min_child_weight": [3], "subsample": [0.9], "colsample_bytree": [0.9],
+            "learning_rate": [0.1], "seed": [BOOSTING_SEED]}
 
 
 def r6(c):
@@ -41,7 +51,7 @@ def gbt_scores(spark, d):
 @query()
 def gbt_sampled_scores(spark, d):
     settings = {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.3, "subsample": 0.5, "colsample_bytree": 0.5,
-                "min_child_weight": 3, "seed": 9438}
+                "min_child_weight": 3, "seed": BOOSTING_SEED}
     return _fit_and_score(spark, d, lambda n: trees.boosted_trees(settings))
 
 
@@ -65,10 +75,10 @@ def gbt_leaf_ids(spark, d):
 @query()
 def leaf_one_hot(spark, d):
     """Codes per row as (size, number of ones)."""
-    train, test, model = _leaf_model(spark, d)
-    hot = encode.fit_leaf_one_hot(model.transform(train.df))
+    _, test, model = _leaf_model(spark, d)
+    hot = encode.LeafCodes(nodes.ensemble(model, spark), TREES["max_leaf_nodes"])
     coded = F.unwrap_udt("leaf_onehot")
-    return hot.transform(model.transform(test)).select(
+    return hot.transform(nodes.with_leaves(model, test)).select(
         "ID", coded["size"].alias("n_codes"), F.size(coded["indices"]).alias("n_active")
     )
 
@@ -130,10 +140,9 @@ def cv_scores(spark, d):
 
 @query()
 def grid_search_results(spark, d):
-    """Forest settings, selected by AUC."""
-    train, _ = basket_split(spark, d, 3)
-    grid = {"max_depth": [2, 4], "criterion": ["entropy", "gini"], "n_estimators": [10], "min_samples_leaf": [3]}
-    return search.described(search.grid_search(learners.forest_learner(), train, grid))
+    """Forest settings, selected by AUC; the caps on leaves share their fits."""
+    train, _ = basket_split(spark, d)
+    return search.described(search.grid_search(learners.forest_learner(), train, FOREST_GRID | {"max_depth": [2, 8]}))
 
 
 @query()
@@ -153,9 +162,9 @@ def refit_predictions(spark, d):
 @query()
 def sampled_search(spark, d):
     """Drawn boosting settings; the two best trials by the pessimistic loss."""
-    train, _ = basket_split(spark, d, 3)
+    train, _ = basket_split(spark, d)
     space = {"max_depth": ("quniform", 2, 5, 1), "min_child_weight": ("quniform", 3, 7, 1), "subsample": ("uniform", 0.5, 1.0),
-             "colsample_bytree": ("uniform", 0.5, 1.0), "learning_rate": ("uniform", 0.1, 0.3), "n_estimators": 5, "seed": 9438}
+             "colsample_bytree": ("uniform", 0.5, 1.0), "learning_rate": ("uniform", 0.1, 0.3), "n_estimators": 5, "seed": BOOSTING_SEED}
     found = search.sampled_search(learners.boosting_learner(), train, space, trials=3)
     best = search.top_configs(found.scores, "auc", 2, use_lower=True)
     return best.join(search.grid_table(spark, found.configs), "cfg").select("cfg", "params", r6("loss"))
@@ -174,10 +183,10 @@ def oof_meta_features(spark, d):
 
 def _linear_candidates() -> list[two_level.Candidate]:
     return [
-        two_level.Candidate("leaf_lr_l2", learners.logistic_learner("l2"), {"C": [0.1, 10.0]}, on_leaves=True),
-        two_level.Candidate("leaf_lr_l1", learners.logistic_learner("l1"), {"C": [1.0]}, on_leaves=True),
-        two_level.Candidate("leaf_svm_l2", learners.hinge_svm_learner(), {"C": [1.0]}, on_leaves=True),
-        two_level.Candidate("leaf_svm_l1", learners.L1SvmLearner(), {"C": [0.1, 1.0]}, on_leaves=True),
+        two_level.Candidate("leaf_lr_l2", learners.logistic_learner("l2"), {"C": STRENGTH_PAIR}, on_leaves=True),
+        two_level.Candidate("leaf_lr_l1", learners.logistic_learner("l1"), {"C": STRENGTH_PAIR}, on_leaves=True),
+        two_level.Candidate("leaf_svm_l2", learners.hinge_svm_learner(), {"C": STRENGTH_PAIR}, on_leaves=True),
+        two_level.Candidate("leaf_svm_l1", learners.L1SvmLearner(), {"C": STRENGTHS}, on_leaves=True),
     ]
 
 
@@ -189,8 +198,8 @@ def _model_rows(level1: two_level.Level1) -> DataFrame:
 
 @query()
 def trees_plus_linear(spark, d):
-    train, test = basket_split(spark, d, 3)
-    level1 = two_level.fit_level1(train, test, _linear_candidates(), TREES)
+    train, test = basket_split(spark, d)
+    level1 = two_level.fit_level1(train, test, _linear_candidates(), tree_grid=TREE_GRID)
     out = _model_rows(level1)
     return out.select("model", "rows", *[r6(c) for c in metrics.SCORE_NAMES])
 
@@ -200,23 +209,22 @@ def blend_evaluation(spark, d):
     """Ridge blend of two text measures; a fifth of the documents is the test table."""
     marked = splits.random_split(meta_wide(spark, d), "ID", 0.2)
     train, test = marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
-    blend = two_level.fit_blend(train, test, ("meta_a", "meta_b"), hold_out=0.5, k=2)
+    blend = two_level.fit_blend(train, test, ("meta_a", "meta_b"), hold_out=0.5, k=5)
     return blend.evaluation.select("tn", "fp", "fn", "tp", *[r6(c) for c in blend.evaluation.columns[4:]])
 
 
 def flagship_candidates() -> list[two_level.Candidate]:
     return [
-        two_level.Candidate("knn", learners.KnnLearner(), {"n_neighbors": [1, 2, 4, 8, 16, 24, 32, 64], "weights": ["distance"]}),
-        two_level.Candidate("rf", learners.forest_learner(), {"max_depth": [5], "n_estimators": [20], "min_samples_leaf": [3]}),
-        two_level.Candidate("xgb", learners.boosting_learner(), {"max_depth": [3], "n_estimators": [8], "subsample": [0.9],
-                                                                 "colsample_bytree": [0.9], "learning_rate": [0.3], "seed": [9438]}),
+        two_level.Candidate("knn", learners.KnnLearner(), {"n_neighbors": NEIGHBOURS, "weights": ["distance"]}),
+        two_level.Candidate("rf", learners.forest_learner(), FOREST_GRID | {"max_depth": [8], "criterion": ["entropy"]}),
+        two_level.Candidate("xgb", learners.boosting_learner(), XGB_GRID | {"max_depth": [4]}),
         *_linear_candidates(),
     ]
 
 
 def _stack(spark, d):
-    train, test = basket_split(spark, d, 3)
-    return two_level.run_stack(train, test, flagship_candidates(), TREES)
+    train, test = basket_split(spark, d)
+    return two_level.run_stack(train, test, flagship_candidates(), tree_grid=TREE_GRID)
 
 
 @query()
@@ -234,10 +242,10 @@ def stacked_ensemble(spark, d):
 @query()
 def run_report_json(spark, d):
     """Report of a run, written and read back as JSON."""
-    train, test = basket_split(spark, d, 3)
-    pair = [two_level.Candidate("lr", learners.logistic_learner("l2"), {"C": [1.0]}),
-            two_level.Candidate("svm", learners.L1SvmLearner(), {"C": [1.0]})]
-    level1, blend = two_level.run_stack(train, test, pair)
+    train, test = basket_split(spark, d)
+    pair = [two_level.Candidate("lr", learners.logistic_learner("l2"), {"C": STRENGTH_PAIR}),
+            two_level.Candidate("svm", learners.L1SvmLearner(), {"C": STRENGTHS}, on_leaves=True)]
+    level1, blend = two_level.run_stack(train, test, pair, tree_grid=TREE_GRID)
     path = scratch_path(spark, "report")
     sinks.write_report(spark, two_level.run_report(level1, blend), path)
     return spark.read.text(path)

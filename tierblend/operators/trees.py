@@ -18,20 +18,38 @@ _NAMES = {
 }
 
 
+#: Accepted without effect: how the work is run, and the only loss there is.
+_NEUTRAL = {"model_type", "loss", "objective", "silent", "n_jobs", "nthread", "random_state", "seed", "criterion"}
+#: Applied to the fitted trees, see :mod:`tierblend.operators.nodes`.
+_AFTER_FIT = {"max_leaf_nodes"}
+_FEATURES = {"max_features", "colsample_bytree"}
+
+
 def _settings(params: dict) -> dict:
+    unknown = sorted(set(params) - set(_NAMES) - _NEUTRAL - _AFTER_FIT - _FEATURES)
+    if unknown:
+        raise ValueError(f"unknown tree parameters {unknown}")
+    if str(params.get("loss", "deviance")) not in ("deviance", "log_loss") or params.get("objective", "binary:logistic") != "binary:logistic":
+        raise ValueError("boosted trees minimise the logistic loss only")
     out = {spark: kind(params[name]) for name, (spark, kind) in _NAMES.items() if name in params}
     if "max_features" in params:  # a count of features per split
         out["featureSubsetStrategy"] = str(int(params["max_features"]))
     if "colsample_bytree" in params:  # a share of features per split
         out["featureSubsetStrategy"] = "all" if float(params["colsample_bytree"]) >= 1 else str(float(params["colsample_bytree"]))
-    if "max_leaf_nodes" in params and "max_depth" not in params:
-        # a tree with m leaves needs a depth of at least ceil(log2 m)
-        out["maxDepth"] = max(1, (int(params["max_leaf_nodes"]) - 1).bit_length())
+    if params.get("max_leaf_nodes") is not None:
+        if int(params["max_leaf_nodes"]) < 2:
+            raise ValueError("max_leaf_nodes must be at least 2")
+        if "max_depth" not in params:
+            # a tree grown best first to m leaves may be m - 1 deep; deeper than this it is cut by depth first
+            out["maxDepth"] = min(int(params["max_leaf_nodes"]) - 1, 8)
     return out
 
 
 def boosted_trees(params: dict, features: str = "features", label: str = "label") -> GBTClassifier:
-    """Gradient-boosted trees with row sampling (``subsample``) and feature sampling."""
+    """Gradient-boosted trees with row sampling (``subsample``) and feature sampling.
+
+    ``max_leaf_nodes`` is not a setting of the fit: the fitted trees are cut back when they score.
+    """
     est = GBTClassifier(
         featuresCol=features, labelCol=label, seed=int(params.get("random_state", params.get("seed", 0))),
         maxIter=100, stepSize=0.1, maxDepth=3, checkpointInterval=10, maxMemoryInMB=1024, leafCol="leaf",

@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierblend.operators import margins, neighbours, ridge, trees
-from tierblend.operators.encode import fit_leaf_one_hot
+from tierblend.operators import margins, neighbours, nodes, ridge, trees
+from tierblend.operators.encode import LeafCodes
 from tierblend.operators.scores import class1_score, minmax_calibrate
 from tierblend.operators.splits import LEVEL1_SEED, stratified_folds
 from tierblend.session import settle
@@ -228,31 +228,119 @@ def hinge_svm_learner(label: str = "label") -> SparkLearner:
     return SparkLearner(lambda p, n: margins.hinge_svm(p["C"], n, label=label, fit_intercept=p.get("fit_intercept", True), tol=p.get("tol", 1e-3)), "minmax")
 
 
-def boosting_learner(label: str = "label") -> SparkLearner:
-    return SparkLearner(lambda p, n: trees.boosted_trees(p, label=label))
+#: Tree settings that are read off a larger fit, and those that change nothing.
+_SHARED = ("n_estimators", "max_leaf_nodes", "n_jobs", "nthread", "silent", "model_type")
+#: Tree fits at the same time: each holds its rows, as binned points, in executor memory.
+PARALLEL_TREES = 4
 
 
-def forest_learner(label: str = "label") -> SparkLearner:
-    return SparkLearner(lambda p, n: trees.random_forest(p, label=label))
+class _FittedTrees(Fitted):
+    """``models`` holds one fit per (group of configurations, left-out fold); configurations read their share of it."""
+
+    def __init__(self, table: FoldedTable, models: dict, configs: Sequence[dict], group: Sequence[int]):
+        super().__init__(table, models, "probability")
+        self.configs, self.group = list(configs), list(group)
+        self._read: dict = {}
+
+    def _ensemble(self, group: int, fold: int | None):
+        if (group, fold) not in self._read:
+            self._read[(group, fold)] = nodes.ensemble(self.models[(group, fold)], self.table.df.sparkSession)
+        return self._read[(group, fold)]
+
+    def _all(self, df: DataFrame, group: int, fold: int | None, cfgs: Sequence[int], keep: Sequence[str]) -> DataFrame:
+        """``(keep..., cfg, p)`` for all configurations of a group from one walk through its trees."""
+        read, leaf = self._ensemble(group, fold), F.col("leaf")
+        cells = []
+        for cap in sorted({self.configs[c].get("max_leaf_nodes") or 0 for c in cfgs}):
+            mine = [c for c in cfgs if (self.configs[c].get("max_leaf_nodes") or 0) == cap]
+            stages = sorted({_stages(self.configs[c]) for c in mine})
+            scores = read.scores(leaf, stages, cap or None)
+            cells += [F.struct(F.lit(c).alias("cfg"), F.get(scores, F.lit(stages.index(_stages(self.configs[c])))).alias("p")) for c in mine]
+        scored = nodes.with_leaves(self.models[(group, fold)], df).withColumn("_cell", F.explode(F.array(*cells)))
+        return scored.select(*keep, "_cell.cfg", "_cell.p")
+
+    def _union(self, cfgs: Sequence[int], parts: Callable) -> DataFrame:
+        out = None
+        for g in sorted({self.group[c] for c in cfgs}):
+            for part in parts(g, [c for c in cfgs if self.group[c] == g]):
+                out = part if out is None else out.unionByName(part)
+        return out
+
+    def attach(self, df: DataFrame, cfg: int, fold: int | None, name: str) -> DataFrame:
+        return self._all(df, self.group[cfg], fold, [cfg], df.columns).select(*df.columns, F.col("p").alias(name))
+
+    def out_of_fold(self, cfgs: Sequence[int]) -> DataFrame:
+        t = self.table
+        keep = (t.fold, t.key, t.label)
+        return self._union(cfgs, lambda g, mine: [self._all(t.only(i), g, i, mine, keep) for i in t.folds]).select(
+            "cfg", *keep, "p")
+
+    def score(self, test: DataFrame, cfgs: Sequence[int]) -> DataFrame:
+        key = self.table.key
+        return self._union(cfgs, lambda g, mine: [self._all(test, g, None, mine, (key,))]).select("cfg", key, "p")
+
+
+def _stages(config: dict) -> int:
+    return int(config.get("n_estimators", 100))
+
+
+@dataclass(frozen=True)
+class TreeLearner:
+    """Tree ensembles. Configurations that differ in the number of trees or in the cap on leaves share one fit.
+
+    The fit has the largest number of trees; its first n are the ensemble of n trees (boosting adds one tree after the
+    other, the trees of a forest do not depend on each other). ``max_leaf_nodes`` cuts the fitted trees back to their
+    best splits; in boosting, later trees were fitted after the uncut ones.
+    """
+
+    build: Callable
+    label: str = "label"
+
+    def fit(self, table: FoldedTable, configs: Sequence[dict], folds: bool = True, whole: bool = False) -> Fitted:
+        groups: list[tuple] = []
+        member: list[int] = []
+        for c in configs:
+            depth = {"max_depth": c["max_depth"]} if "max_depth" in c else {"_cap": c.get("max_leaf_nodes")}
+            own = tuple(sorted(({k: v for k, v in c.items() if k not in _SHARED} | depth).items(), key=lambda kv: kv[0]))
+            if own not in groups:
+                groups.append(own)
+            member.append(groups.index(own))
+        held = (table.folds if folds else []) + ([None] if whole else [])
+        todo = [(g, f) for g in range(len(groups)) for f in held]
+
+        def one(g, f):
+            mine = [dict(c) for c, m in zip(configs, member) if m == g]
+            est = self.build(mine[0] | {"n_estimators": max(map(_stages, mine))}, self.label)
+            return lambda: est.fit(table.without(f).select(table.label, table.features))
+
+        models = run_parallel(table.df.sparkSession, [one(g, f) for g, f in todo], PARALLEL_TREES)
+        return _FittedTrees(table, dict(zip(todo, models)), configs, member)
+
+
+def boosting_learner(label: str = "label") -> TreeLearner:
+    return TreeLearner(lambda p, label: trees.boosted_trees(p, label=label), label)
+
+
+def forest_learner(label: str = "label") -> TreeLearner:
+    return TreeLearner(lambda p, label: trees.random_forest(p, label=label), label)
 
 
 def encode_leaves(table: FoldedTable, test: DataFrame | None, tree_params: dict) -> tuple[FoldedTable, DataFrame | None, object]:
-    """Replace the features by the one-hot codes of the leaves of boosted trees.
+    """Replace the features by the one-hot codes of the leaves of boosted trees, at most ``max_leaf_nodes`` per tree.
 
     The trees see the whole training table (see :func:`nested_leaf_scores`
     for the variant without that leak). The codes are stored once and serve every linear model.
     """
     model = trees.boosted_trees(tree_params, table.features, table.label).fit(table.df.select(table.label, table.features))
+    hot = LeafCodes(nodes.ensemble(model, table.df.sparkSession), tree_params.get("max_leaf_nodes"))
 
-    def leaves(df: DataFrame) -> DataFrame:
-        return model.transform(df).select(*[c for c in df.columns if c != table.features], "leaf")
+    def coded(df: DataFrame) -> DataFrame:
+        kept = nodes.with_leaves(model, df).select(*[c for c in df.columns if c != table.features], "leaf")
+        return hot.transform(kept, "leaf", table.features).drop("leaf")
 
-    hot = fit_leaf_one_hot(leaves(table.df))
-    train = hot.transform(leaves(table.df), "leaf", table.features).drop("leaf")
-    stored = settle(train, "leaves")
-    coded = FoldedTable(stored, table.key, table.label, table.features, table.fold, table.counts)
-    other = None if test is None else settle(hot.transform(leaves(test), "leaf", table.features).drop("leaf"), "leaves-test")
-    return coded, other, model
+    stored = settle(coded(table.df), "leaves")
+    other = None if test is None else settle(coded(test), "leaves-test")
+    return FoldedTable(stored, table.key, table.label, table.features, table.fold, table.counts), other, model
 
 
 def nested_leaf_scores(table: FoldedTable, tree_params: dict, learner, config: dict) -> DataFrame:
