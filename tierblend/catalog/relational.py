@@ -11,7 +11,7 @@ from tierblend.catalog.fixtures import (
 )
 from tierblend.catalog.registry import query
 from tierblend.functions import columns
-from tierblend.operators import encode, joins, metrics, neighbours, ordering, profile, ridge, scale, scores, select, splits
+from tierblend.operators import encode, hashed_neighbours, joins, metrics, neighbours, ordering, profile, ridge, scale, scores, select, splits
 from tierblend.plans import search
 from tierblend.session import scratch_path
 from tierblend.sources import sinks, tables
@@ -269,6 +269,13 @@ def knn_topk_pairs(spark, d):
     return _near(spark, d, 8).select("query", "neighbour", "rank", r6("distance"))
 
 
+@query()
+def knn_lsh_pairs(spark, d):
+    v = vectors(spark, d)
+    # these few vectors without much structure would be met whole if the costs decided
+    return hashed_neighbours.nearest_hashed(v, v, 8, "ID", "embedding", bits=4).select("query", "neighbour", "rank", r6("distance"))
+
+
 @query(f"""{_NEAR}, k as (select unnest([1, 2, 4, 8, 16, 24, 32, 64])::int as k)
  select query, k, round(case when count(*) filter (dist = 0) > 0 then avg(label) filter (dist = 0)
  else sum(label / dist) / sum(1 / dist) end, 6) as p from r join k on rank <= k group by query, k""")
