@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from tierblend.functions import columns
 from tierblend.operators import encode, hashed_neighbours, joins, metrics, neighbours, ordering, profile, ridge, scale, scores, select, splits
 from tierblend.plans import search
 from tierblend.session import scratch_path
-from tierblend.sources import sinks, tables
+from tierblend.sources import sinks, stages, tables
 
 
 def r6(c, name=None):
@@ -464,6 +465,29 @@ def apply_blend_weights(spark, d):
     return ridge.apply_weights(meta, weights, ["meta_a", "meta_b"]).select("ID", r6("decision"), "prediction")
 
 
+@query(f"""{_RIDGE} select x."ID", round(f.intercept + x.meta_a * f.meta_a + x.meta_b * f.meta_b, 6) as decision,
+ (f.intercept + x.meta_a * f.meta_a + x.meta_b * f.meta_b > 0)::int as prediction from x, f where f.alpha = 10.0""")
+def blend_weights_file(spark, d):
+    """Weights stored as delimited text, read back and applied."""
+    meta, path = meta_wide(spark, d), scratch_path(spark, "weights")
+    sinks.write_weights(ridge.fit_ridge(meta, ["meta_a", "meta_b"], "label", 10.0).weight_table(spark), path)
+    return ridge.apply_weights(meta, tables.scan_weights(spark, path), ["meta_a", "meta_b"]).select("ID", r6("decision"), "prediction")
+
+
+_SCALED_META = f"""(select "ID", (meta_a - min(meta_a) over ()) / (max(meta_a) over () - min(meta_a) over ()) as meta_a,
+ (meta_b - min(meta_b) over ()) / (max(meta_b) over () - min(meta_b) over ()) as meta_b, label from {META})"""
+
+
+@query(f"""{_RIDGE.replace(META, _SCALED_META)} select x."ID", round(f.intercept + x.meta_a * f.meta_a + x.meta_b * f.meta_b, 6) as decision,
+ (f.intercept + x.meta_a * f.meta_a + x.meta_b * f.meta_b > 0)::int as prediction from x, f where f.alpha = 0.1""")
+def stored_pipeline(spark, d):
+    """Scaler and ridge blend fitted as one pipeline, stored, loaded and applied."""
+    meta, path, pair = meta_wide(spark, d), scratch_path(spark, "pipeline"), ["meta_a", "meta_b"]
+    steps = [stages.ColumnScaler(columns=pair, kind="minmax"), stages.RidgeBlend(columns=pair, alpha=0.1)]
+    sinks.save_model(Pipeline(stages=steps).fit(meta), path)
+    return tables.load_model(path).transform(meta).select("ID", r6("rawPrediction", "decision"), "prediction")
+
+
 @query("""select o_orderkey as "ID", o_orderpriority, round((o_totalprice - min(o_totalprice) over w)
  / (max(o_totalprice) over w - min(o_totalprice) over w), 6) as p from orders window w as (partition by o_orderpriority)""")
 def minmax_calibration(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tierblend.operators.metrics import SCORE_NAMES, evaluate
 from tierblend.plans.learners import FoldedTable
+from tierblend.plans.store import ResultStore
 from tierblend.session import settle
 
 #: Configurations whose predictions are written and evaluated together.
@@ -113,22 +114,48 @@ class SearchResult:
         return self.rounds[self.best // ROUND].filter(F.col("cfg") == self.best)
 
 
-def run_search(learner, table: FoldedTable, configs: Sequence[dict], metric: str = "auc", keep: str | None = None) -> SearchResult:
+def _stored_round(learner, table: FoldedTable, part: list[dict], store: ResultStore, names: list[str]) -> DataFrame:
+    """Predictions of a round from the store; what it does not hold is fitted and put there first."""
+    spark = table.df.sparkSession
+    held = store.present(spark, names)
+    # settings that occur twice have one entry
+    missing = [i for i, n in enumerate(names) if n not in held and names.index(n) == i]
+    if missing:
+        fresh = learner.fit(table, [part[i] for i in missing]).out_of_fold(range(len(missing)))
+        store.put(fresh.select(F.col("cfg").alias("entry"), F.col(table.fold).cast("int").alias(table.fold), table.key, table.label, "p"),
+                 [names[i] for i in missing])
+    kinds = {c: table.df.schema[c].dataType.simpleString() for c in (table.key, table.label)}
+    schema = f"`{table.fold}` int, `{table.key}` {kinds[table.key]}, `{table.label}` {kinds[table.label]}, p double"
+    out = None
+    for i, name in enumerate(names):
+        one = store.get(spark, name, schema).select(F.lit(i).alias("cfg"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def run_search(
+    learner, table: FoldedTable, configs: Sequence[dict], metric: str = "auc", keep: str | None = None, store: ResultStore | None = None,
+) -> SearchResult:
     """Cross-validate every configuration on the shared folds and pick the best.
 
     Out-of-fold predictions are written once per round and scored by grouped aggregates. ``keep``
-    names a folder that receives them as ``(cfg, fold, key, label, p)``.
+    names a folder that receives them as ``(cfg, fold, key, label, p)``; those of a former run are replaced. With
+    ``store`` they stay there under their parameters and rows, and what it holds already is not fitted again.
     """
     spark = table.df.sparkSession
     rows, rounds = [], []
+    names = store.names(table, configs) if store else []
     for start in range(0, len(configs), ROUND):
         part = list(configs[start : start + ROUND])
-        oof = learner.fit(table, part).out_of_fold(range(len(part)))
+        if store:
+            oof = _stored_round(learner, table, part, store, names[start : start + ROUND])
+        else:
+            oof = learner.fit(table, part).out_of_fold(range(len(part)))
         oof = oof.withColumn("cfg", F.col("cfg") + start).withColumnRenamed(table.fold, "fold")
         if keep:
-            oof.write.mode("append").parquet(keep)
+            oof.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cfg").parquet(keep)
             oof = spark.read.schema(oof.schema).parquet(keep).filter(F.col("cfg").between(start, start + len(part) - 1))
-        else:
+        elif not store:
             oof = settle(oof, "oof")
         rounds.append(oof)
         # configurations times folds times seven numbers
@@ -138,8 +165,10 @@ def run_search(learner, table: FoldedTable, configs: Sequence[dict], metric: str
     return SearchResult(list(configs), scores, metric, top["cfg"], top["score"], tuple(rounds))
 
 
-def grid_search(learner, table: FoldedTable, grid: dict[str, Sequence], metric: str = "auc", keep: str | None = None) -> SearchResult:
-    return run_search(learner, table, expand_grid(grid), metric, keep)
+def grid_search(
+    learner, table: FoldedTable, grid: dict[str, Sequence], metric: str = "auc", keep: str | None = None, store: ResultStore | None = None,
+) -> SearchResult:
+    return run_search(learner, table, expand_grid(grid), metric, keep, store)
 
 
 def sampled_search(learner, table: FoldedTable, space: dict, trials: int = 201, metric: str = "auc", seed: int = 0) -> SearchResult:

@@ -37,8 +37,9 @@ def write_submission(ids: DataFrame, predictions: DataFrame, path: str, key: str
     write_csv(submission(ids, predictions, key, score), path)
 
 
-def write_cv_predictions(oof: DataFrame, path: str) -> None:
-    oof.write.mode("append").parquet(path)
+def write_weights(weights: DataFrame, path: str) -> None:
+    """A blend-weight table (``intercept`` and one column per score) as delimited text; doubles keep every digit."""
+    write_csv(weights.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in weights.columns]), path)
 
 
 def report_frame(spark, report: dict) -> DataFrame:

@@ -60,5 +60,11 @@ def scan_matching(spark: SparkSession, pattern: str, schema: T.StructType | str)
     return df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def scan_weights(spark: SparkSession, path: str) -> DataFrame:
+    """A stored blend-weight table; every column is a double."""
+    text = spark.read.option("header", True).csv(path)
+    return text.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in text.columns])
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
