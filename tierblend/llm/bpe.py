@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 import regex
@@ -19,7 +21,7 @@ from tierblend.session import ship_by_value
 ship_by_value(__name__)
 
 #: Pre-tokens of up to so many characters are remembered; beyond so many of them a Python worker starts anew.
-CACHE_CHARS, CACHE_ENTRIES = 64, 400_000
+CACHE_CHARS, CACHE_ENTRIES = 64, 1_000_000
 #: Characters of texts whose new pre-tokens go through one queue.
 QUEUE_CHARS = 1 << 18
 
@@ -131,11 +133,18 @@ def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int])
     return out
 
 
+def _picked(items: list, places):
+    """``items`` at ``places``; one call for all of them."""
+    return itemgetter(*places)(items) if len(places) > 1 else [items[i] for i in places]
+
+
 class Codec:
     def __init__(self, blob: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        self.pieces = {v: k for k, v in self.ranks.items()}
-        self.names = {v: str(v) for v in self.pieces}
+        self.pieces: list = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for piece, rank in self.ranks.items():
+            self.pieces[rank] = piece
+        self.names = [str(i) for i in range(len(self.pieces))]
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, tuple] = {}
@@ -175,10 +184,7 @@ class Codec:
             self.learn(new)
             long = {w for w in new if len(w) > CACHE_CHARS}
         for words in split:
-            ids: list[int] = []
-            for got in map(cache.__getitem__, words):
-                ids += got
-            out.append(ids)
+            out.append(list(chain.from_iterable(map(cache.__getitem__, words))))
         for w in long:
             del cache[w]
         return out
@@ -187,7 +193,11 @@ class Codec:
         return self.encode_many([text])[0]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(_picked(self.pieces, ids))
+
+    def written(self, ids) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(_picked(self.names, ids))
 
 
 _codecs: dict = {}
@@ -226,6 +236,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     @F.pandas_udf("binary")
     def back(rows: pd.Series) -> pd.Series:
         own = codec(shared, "")
+        if any(len(ids) and min(ids) < 0 for ids in rows):
+            raise ValueError("ids are at least 0")
         return rows.map(own.decode)
 
     return encoded.withColumn("decoded", back(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
@@ -241,7 +253,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         rows = []
         for at in range(0, len(texts), 64):
             for ids in own.encode_many(texts.iloc[at:at + 64]):
-                rows.append((len(ids), hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(),
+                rows.append((len(ids), hashlib.sha256(own.written(ids).encode()).hexdigest(),
                              hashlib.sha256(own.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
