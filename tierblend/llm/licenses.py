@@ -174,9 +174,18 @@ def background(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray,
         found = [_words(p) for p in paragraphs]
         return pd.DataFrame({"ids": [features(w).astype(np.int32).tobytes() for w in found], "first": [w[:20] for w in found]})
 
-    rows = (docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("p")).where(F.trim("p") != "")
-            .select(F.xxhash64("p").alias("h"), "p").distinct().where(other("p")).orderBy("h", "p").limit(sample)
-            .select("h", pack("p").alias("s")).select("h", "s.*").collect())
+    lines = (docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("p")).where(F.trim("p") != "")
+             .select(F.xxhash64("p").alias("h"), "p"))
+    distinct = lines.agg(F.approx_count_distinct("h")).first()[0]
+    # only lines below a cut of the hash are shuffled; the cut rises until it leaves enough of them or none out
+    share = min(1.0, 4 * sample / max(1, distinct))
+    while True:
+        below = lines if share >= 1 else lines.where(F.col("h") < F.lit(int(share * 2.0**64) - 2**63))
+        rows = (below.distinct().where(other("p")).orderBy("h", "p").limit(sample)
+                .select("h", pack("p").alias("s")).select("h", "s.*").collect())
+        if len(rows) >= sample or share >= 1:
+            break
+        share = min(1.0, 8 * share)
     rows.sort(key=lambda r: (r["h"], r["first"]))
     return [(np.frombuffer(r["ids"], np.int32), list(r["first"])) for r in rows]
 
