@@ -38,6 +38,14 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with further underscores in front until no column of ``df`` has the name (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Fewer rows per Arrow batch while texts go to Python workers in this block, so that a batch of them stays small."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierblend.llm.base import ascii_lower, query, settle, table, text_or_empty
+from tierblend.llm.base import ascii_lower, free_name, query, settle, table, text_or_empty
 
 WINDOW, K = 13, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,11 +112,11 @@ def judge(hits: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
+    sig, row, other = (free_name(docs, c) for c in ("_sig", "_d", "_s"))
     bad = settle(judge(find_hits(docs, items)).where("contaminated")
-                 .select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s")).distinct(), "contaminated")
-    marked = docs.withColumn("_sig", F.xxhash64(text_or_empty()))
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_d"]) & (marked["_sig"] == bad["_s"]),
-                       "left_anti").drop("_sig")
+                 .select(F.col("doc_id").alias(row), F.col("sig").alias(other)).distinct(), "contaminated")
+    marked = docs.withColumn(sig, F.xxhash64(text_or_empty()))
+    return marked.join(bad, marked["doc_id"].eqNullSafe(bad[row]) & (marked[sig] == bad[other]), "left_anti").drop(sig)
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tierblend.llm.base import query, settle, table, text_or_empty
+from tierblend.llm.base import free_name, query, settle, table, text_or_empty
 from tierblend.session import ship_by_value
 
 ship_by_value(__name__)
@@ -234,9 +234,10 @@ def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row of each group of near-duplicates; of rows with equal id and text, one. Columns stay."""
-    gone = settle(components(docs, share).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "near-copies")
-    left = docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
-    return left.withColumn("_sig", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_sig"]).drop("_sig")
+    sig, row = free_name(docs, "_sig"), free_name(docs, "_d")
+    gone = settle(components(docs, share).where("not kept").select(F.col("doc_id").alias(row)).distinct(), "near-copies")
+    left = docs.join(gone, docs["doc_id"] == gone[row], "left_anti")
+    return left.withColumn(sig, F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", sig]).drop(sig)
 
 
 @query()

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tierblend.llm.base import query, table, text_or_empty
+from tierblend.llm.base import free_name, query, table, text_or_empty
 from tierblend.session import ship_by_value
 
 ship_by_value(__name__)
@@ -169,5 +169,6 @@ def op5_quality(spark, sf_dir):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that score ``threshold`` or more, with their columns."""
     model = train(docs, labels)
-    kept = docs.withColumn("_score", probability(docs.sparkSession, model)(text_or_empty()))
-    return kept.where(F.col("_score") >= threshold).drop("_score")
+    score = free_name(docs, "_score")
+    kept = docs.withColumn(score, probability(docs.sparkSession, model)(text_or_empty()))
+    return kept.where(F.col(score) >= threshold).drop(score)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierblend.llm.base import query, settle, table, text_or_empty
+from tierblend.llm.base import free_name, query, settle, table, text_or_empty
 
 COMMON_OWNERS = 5
 ASSIGN = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -31,23 +31,33 @@ KINDS = (
 NO_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
+#: Entries of an array that are run over together, and characters of a text that are cut out together.
+RUN, BLOCK = 256, 4096
+
+
+def _running(values: Column, combine) -> Column:
+    """Running results of ``combine`` (with neutral element 0) over an array of integers.
+
+    An array grown entry by entry is copied at every step, so only runs of ``RUN`` entries and the list of runs grow.
+    """
+    none = F.array().cast("array<int>")
+    grow = lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(RUN)), lambda i: F.slice(values, i, RUN))
+    before = F.aggregate(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), combine)), F.array(F.lit(0)), grow)
+    inside = F.zip_with(runs, before, lambda r, start: F.slice(F.aggregate(F.coalesce(r, none), F.array(start), grow), 2, RUN))
+    return F.flatten(inside)
+
+
 def _spans(text: Column, match: Column, value: Column, rank: int, kind: str, pattern: str, least: int) -> Column:
     """Array of (start, rank, kind, end, value) for one kind, from its matches and the gaps between them."""
     none = F.array().cast(NO_SPANS)
-    step = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    lengths = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
-                           match.alias("whole"), value.alias("value"))
-
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(F.coalesce(x["whole"], F.lit("")))
-        row = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-                       x["value"].alias("value"))
-        wanted = F.char_length(F.coalesce(x["value"], F.lit(""))) >= least
-        return F.struct(end.alias("at"),
-                        F.when(wanted, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(match) > 0, F.aggregate(lengths, step, add, lambda acc: acc["out"])).otherwise(none)
+    sizes = F.transform(match, F.char_length)
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(match)), F.char_length)
+    ends = _running(F.zip_with(gaps, sizes, lambda g, n: g + n), lambda a, x: a + x)
+    rows = F.transform(F.arrays_zip(ends.alias("end"), sizes.alias("size"), value.alias("value")), lambda x: F.struct(
+        (x["end"] - x["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"),
+        x["value"].alias("value")))
+    return F.when(F.size(match) > 0, F.filter(rows, lambda r: F.char_length(r["value"]) >= least)).otherwise(none)
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
@@ -97,25 +107,41 @@ def scan(docs: DataFrame, common: int = COMMON_OWNERS) -> DataFrame:
             .select("doc_id", "sig", F.coalesce("spans", none).alias("spans")))
 
 
+def _cut_out(spans: str) -> Column:
+    """The text with its runs of spans replaced. Long texts are cut into blocks first, as a position is found by counting."""
+    size = F.char_length("text")
+    blocks = F.transform(F.sequence(F.lit(0), size, F.lit(BLOCK)), lambda i: F.col("text").substr(i + 1, F.lit(BLOCK)))
+    seen = _running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    # every span with the end of all spans before it; one that begins before that end belongs to the run
+    rows = F.arrays_zip(F.concat(F.array(F.lit(0)), seen).alias("at"), F.col(spans).alias("s"))
+
+    def part(held, start, end):
+        first = F.floor(start / BLOCK).cast("int")
+        near = F.array_join(F.slice(held, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return near.substr(start - first * BLOCK + 1, end - start)
+
+    def whole(held):
+        marks = F.transform(F.filter(rows, lambda r: r["s"].isNotNull() & (r["s"]["start"] >= r["at"])), lambda r: F.concat(
+            part(held, r["at"], r["s"]["start"]), F.when(r["s"]["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))))
+        return F.concat(F.array_join(marks, ""), part(held, F.array_max(seen), size))
+
+    # the blocks are bound to a variable, or every span would cut them anew
+    return F.get(F.transform(F.array(blocks), whole), F.lit(0))
+
+
 def redact(docs: DataFrame, common: int = COMMON_OWNERS) -> DataFrame:
     """``docs`` with each run of spans replaced: [SECRET] where one looks live, else [EXAMPLE]. Columns stay."""
+    sig, row, other, found = (free_name(docs, c) for c in ("_sig", "_d", "_s", "_spans"))
     spans = (scan(docs, common).where(F.size("spans") > 0).dropDuplicates(["doc_id", "sig"])
-             .select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s"), F.col("spans").alias("_spans")))
+             .select(F.col("doc_id").alias(row), F.col("sig").alias(other), F.col("spans").alias(found)))
     spans = settle(spans, "secret-redactions")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc, s):
-        mark = F.when(s["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
-        gap = F.col("text").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"))
-
-    marked = docs.withColumn("_sig", F.xxhash64(text_or_empty()))
-    joined = marked.join(spans, marked["doc_id"].eqNullSafe(spans["_d"]) & (marked["_sig"] == spans["_s"]), "left")
-    clean = F.aggregate("_spans", start, cut, lambda a: F.concat(
-        a["out"], F.col("text").substr(a["at"] + 1, F.char_length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(docs.columns)
+    marked = docs.withColumn(sig, F.xxhash64(text_or_empty()))
+    joined = marked.join(spans, marked["doc_id"].eqNullSafe(spans[row]) & (marked[sig] == spans[other]), "left")
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(_cut_out(found))).select(*map(_quoted, docs.columns))
+
+
+def _quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 @query()
