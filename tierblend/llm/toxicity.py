@@ -3,9 +3,9 @@
 The index holds at most ``SAMPLE`` labelled documents (smallest hash of their id), the one bound here, each with all
 its terms. A term weighs its inverse document frequency times ``PLAIN`` and how far it speaks for label 1: the
 logarithm of its odds, at the lower end of the estimate, against those of all examples, 0 if below. No term is left
-out, and only odds against odds count, so the weights hold at any share of label 1. A text adds up its rare terms and
-the heaviest of its frequent ones; the others are bounded by their largest weight per block of ``BLOCK`` examples, and
-are added too where more than ``FEW`` examples can still reach the k-th neighbour. Those that can are compared on all
+out, and only odds against odds count, so the weights hold at any share of label 1. A text adds up its very frequent
+terms (a matrix product for a batch of texts), its rare ones and the heaviest of those between; the others are bounded
+by their largest weight per block of ``BLOCK`` examples, and are added too where more than ``FEW`` examples can still reach the k-th neighbour. Those that can are compared on all
 terms, so the neighbours are exact. Votes are weighted by cosine; a piecewise-constant monotone fit on the examples themselves, each
 left out of its own vote, calibrates them. Evidence is the neighbours' ids.
 
@@ -17,7 +17,9 @@ score alike; without labels all score 0. Extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,21 +34,22 @@ ship_by_value(__name__)
 SAMPLE, NEIGHBOURS, BLOCK, PLAIN, THRESHOLD = 6_000, 15, 64, 0.1, 0.7
 #: Frequent terms added up at first, examples that are few enough to be compared on all terms, and the part of the
 #: examples (one in so many) from which on a term's weights are stored for every example.
-FIRST, FEW, WIDE = 128, 300, 16
+FIRST, FEW, WIDE = 256, 150, 16
+#: Texts whose widely stored terms are added up in one matrix product.
+BATCH = 64
 #: Longer words also count under their first STEM letters, and such a stem again when a text has it OFTEN times.
 STEM, OFTEN = 5, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for w in _WORD.findall(text.lower()):
-        out[w] = out.get(w, 0) + 1
+    words = Counter(_WORD.findall(text.lower()))
+    stems: dict[str, int] = {}
+    for w, c in words.items():
         if len(w) > STEM:
             stem = w[:STEM] + "*"
-            out[stem] = out.get(stem, 0) + 1
-    out.update({w + "+": c for w, c in out.items() if w[-1] == "*" and c >= OFTEN})
-    return out
+            stems[stem] = stems.get(stem, 0) + c
+    return {**words, **stems, **{w + "+": c for w, c in stems.items() if c >= OFTEN}}
 
 
 def _ranges(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +76,9 @@ class Index:
         self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
         self.own_starts = np.searchsorted(rows, np.arange(n + 1))
         self._arrange()
-        raw = np.full(n, np.nan)
-        for i in range(n):
-            mine = slice(self.own_starts[i], self.own_starts[i + 1])
-            raw[i] = self._vote(self._search(self.own_terms[mine], self.own_weights[mine], NEIGHBOURS, i))
+        mine = [slice(a, b) for a, b in zip(self.own_starts, self.own_starts[1:])]
+        own_vectors = [(self.own_terms[m], self.own_weights[m]) for m in mine]
+        raw = np.array([self._vote(found) for found in self._searched(own_vectors, NEIGHBOURS, range(n))], dtype=float)
         known = ~np.isnan(raw)
         self.bare = float((self.labels if known.all() else self.labels[~known]).mean()) if n else 0.0
         self.steps, self.values = np.zeros(0), np.zeros(0)
@@ -131,27 +133,41 @@ class Index:
         return idf * (PLAIN + np.maximum(0, np.log(low / (1 - low)) - np.log(share / (1 - share))))
 
     def vector(self, bag: dict[str, int]):
-        at = np.array([self.vocab.get(w, -1) for w in bag], dtype=np.int64)
+        at = np.fromiter(map(self.vocab.get, bag, repeat(-1)), np.int64, len(bag))
         order = np.argsort(at)[np.count_nonzero(at < 0):]
         if not len(order):
             return np.zeros(0, np.int64), np.zeros(0)
         at = at[order]
-        weight = (1 + np.log(np.array(list(bag.values()), dtype=float)[order])) * self.idf[at]
+        weight = (1 + np.log(np.fromiter(bag.values(), float, len(bag))[order])) * self.idf[at]
         return at, weight / np.sqrt(weight @ weight)
 
-    def nearest(self, bag: dict[str, int], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, bag: dict[str, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, as (cosine, position); exact."""
-        return self._search(*self.vector(bag), k, leave)
-
-    def _search(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int) -> list[tuple[float, int]]:
+        return next(self._searched([self.vector(bag)], k))
+
+    def _searched(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], k: int, leave: Sequence[int] | None = None):
+        """The neighbours of every vector in turn; example ``leave[i]`` is no neighbour of vector i."""
+        for start in range(0, len(vectors), BATCH):
+            part = vectors[start:start + BATCH]
+            wide = np.zeros((len(part), len(self.dense)))
+            for row, (at, weight) in zip(wide, part):
+                held = self.dense_at[at]
+                row[held[held >= 0]] = weight[held >= 0]
+            for i, (sums, (at, weight)) in enumerate(zip(wide @ self.dense, part), start):
+                yield self._search(at, weight, k, -1 if leave is None else leave[i], sums)
+
+    def _search(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int, sums: np.ndarray) -> list[tuple[float, int]]:
+        """``sums`` holds the share of widely stored terms in every example's cosine."""
         n = len(self.ids)
         if not len(at):
             return []
-        frequent = self.starts[at + 1] - self.starts[at] > BLOCK
-        order = np.lexsort((-weight * self.top[at], frequent))
-        turn, part, cut = at[order], weight[order], len(at) - int(frequent.sum()) + FIRST
+        listed = self.dense_at[at] < 0
+        turn, part = at[listed], weight[listed]
+        frequent = self.starts[turn + 1] - self.starts[turn] > BLOCK
+        order = np.lexsort((-part * self.top[turn], frequent))
+        turn, part, cut = turn[order], part[order], len(turn) - int(frequent.sum()) + FIRST
         self.spread[at] = weight
-        most = sums = self._add(np.zeros(n), turn[:cut], part[:cut])
+        most = sums = self._add(sums, turn[:cut], part[:cut])
         if leave >= 0:
             sums[leave] = -np.inf
         if cut < len(turn):
@@ -168,13 +184,9 @@ class Index:
         return [(float(exact[j]), int(wanted[j])) for j in best if exact[j] > 0]
 
     def _add(self, sums: np.ndarray, terms_: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """``sums`` with the share of some terms in every example's cosine added, in place."""
-        dense = self.dense_at[terms_]
-        listed = dense < 0
-        found, lengths = _ranges(self.starts, terms_[listed])
-        sums += np.bincount(self.docs[found], np.repeat(weight[listed], lengths) * self.weights[found], len(sums))
-        for d, x in zip(dense[~listed], weight[~listed]):
-            sums += x * self.dense[d]
+        """``sums`` with the share of some listed terms in every example's cosine added, in place."""
+        found, lengths = _ranges(self.starts, terms_)
+        sums += np.bincount(self.docs[found], np.repeat(weight, lengths) * self.weights[found], len(sums))
         return sums
 
     def _exact(self, wanted: np.ndarray) -> np.ndarray:
@@ -214,8 +226,14 @@ class Index:
         self.steps = np.array([p[0] for p in pools])
         self.values = np.array([p[1] / p[2] for p in pools])
 
-    def score(self, bag) -> tuple[float, list[int]]:
-        found = self.nearest(bag)
+    def scores(self, bags: Iterable[dict[str, int]]) -> list[tuple[float, list[int]]]:
+        """Calibrated score and ids of the neighbours per text."""
+        return [self._scored(found) for found in self._searched([self.vector(b) for b in bags], NEIGHBOURS)]
+
+    def score(self, bag: dict[str, int]) -> tuple[float, list[int]]:
+        return self.scores([bag])[0]
+
+    def _scored(self, found: list[tuple[float, int]]) -> tuple[float, list[int]]:
         if not found:
             return self.bare, []
         vote, near = self._vote(found), [int(self.ids[i]) for _, i in found]
@@ -244,7 +262,9 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def score(texts):
-        rows = [shared.value.score(terms(t)) for t in texts]
+        rows = []
+        for at in range(0, len(texts), BATCH):  # the terms of a few texts at a time
+            rows += shared.value.scores([terms(t) for t in texts.iloc[at:at + BATCH]])
         return pd.DataFrame(rows, columns=["score", "evidence"])
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
