@@ -3,15 +3,23 @@
 A text's shingles (five words, or all words when there are fewer) are hashed once; ``BINS`` bins keep their smallest
 hash, and an empty bin takes that of a non-empty one found by hashing the bin's number (optimal densification). Bands
 of ``ROWS`` bins give buckets. In each bucket a star joins a hub with every other member: a bucket of m members gives
-m - 1 pairs, confirmed on the full shingle sets. Hubs follow one fixed random order of all texts, so the buckets of a
-group share theirs. A hub has then met its whole bucket and leaves it; buckets that still hold more than one component
-go on, with four times as many hubs in each round, until none is left. So any two members of a bucket are compared or
-are connected already: no link between members is lost, and no group is expanded into its pairs. What a bucket holds
-that is linked with nothing else in it, it does compare: that part grows with the square of its unlinked members.
+m - 1 pairs. The hub is the member whose buckets hold the most texts, the most typical one of its group, so the buckets
+of a group mostly share theirs and its pairs fall together.
+
+Buckets that still hold more than one component are crowded by texts below the share. Their texts are split exactly:
+shingles are ordered by how many of these texts hold them, and a text enters one group per shingle among its rarest
+(any two linked texts share one of those, and its places in both leave room for enough common shingles). Groups go on
+in rounds, with ``GROWTH`` times as many hubs in each, until none holds more than one component; a hub has then met
+its whole group and leaves it. So any two members of a bucket are compared, are ruled out by sizes and places, or are
+connected already: no link between members is lost, and no group is expanded into its pairs.
+
+Pairs are first held against the sizes and against parity maps (one bit per class of hashes, flipped by each shingle:
+two maps never differ in more bits than the sets in shingles), then confirmed on the full shingle sets.
 Two texts at the threshold share no bucket with probability (1 - 0.85 ^ ROWS) ^ (BINS // ROWS), some 2e-9; at the
 share ``CORPUS_SHARE`` of corpus stages some 3e-6.
 Texts with equal shingle sets are joined first, so copies cost one row each and never meet in a bucket. Other texts
-link only from ``LEAST`` shingles on (below, one different shingle is already too much) and go into no bucket before.
+link only from ``least_linked`` shingles on (below, one different shingle is already too much) and go into no bucket
+before.
 
 Null texts, empty texts and texts without words have no shingles and are linked with nothing. Rows of one id share a
 component; null ids are kept and never linked. Extra columns are not read by ``components``.
@@ -35,8 +43,10 @@ ship_by_value(__name__)
 BINS, ROWS, WORDS, SHARE, SEED = 256, 6, 5, 85, 97
 #: The share from which a stage on a corpus takes two texts as near copies; ``SHARE`` is that of the query.
 CORPUS_SHARE = 80
-#: Hubs per bucket grow by this factor from round to round.
-GROWTH = 4
+#: Hubs per group of a crowded bucket's texts in the first round, and their growth from round to round.
+HUBS, GROWTH = 16, 16
+#: Bits of the parity map of a text below four times as many shingles; four times the bits for each four times the length.
+MAP_BITS = 512
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -126,16 +136,25 @@ def least_linked(share: int) -> int:
     return math.ceil(share / (100 - share)) if share < 100 else 2**31 - 1
 
 
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit words: whether an odd number of shingles falls on each."""
+    bits = MAP_BITS
+    while len(found) >= 4 * bits:
+        bits *= 4
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketcher(least: int):
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             found = shingles(t)
-            n = len(found)
+            n, banded = len(found), len(found) >= least
             rows.append((n, hashlib.md5(found.tobytes()).digest() if n else None,
-                         buckets(signature(found)) if n >= least else None))
-        return pd.DataFrame(rows, columns=["n", "mark", "keys"])
-    return F.pandas_udf(sketch, "n long, mark binary, keys array<long>")
+                         buckets(signature(found)) if banded else None, parity_map(found) if banded else None))
+        return pd.DataFrame(rows, columns=["n", "mark", "keys", "map"])
+    return F.pandas_udf(sketch, "n long, mark binary, keys array<long>, map array<long>")
 
 
 def _full(texts: pd.Series) -> pd.DataFrame:
@@ -176,6 +195,36 @@ def _relabel(df: DataFrame, map_: DataFrame) -> DataFrame:
             .drop("u", "r"))
 
 
+def _confirmed(pairs: DataFrame, facts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Distinct links (u, v) of ids, u > v, among the pairs (a, b) of texts that reach the share."""
+    side = lambda k: facts.select(F.col("t").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "map", "root")])
+    differ = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # |A or B| - |A and B| is at most (100 - share) / (100 + share) of the sum of the sizes
+    near = (F.size("map_a") != F.size("map_b")) | (differ * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share))
+    left = (pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b")
+            .where(F.greatest("n_a", "n_b") * share <= F.least("n_a", "n_b") * 100).where(near)
+            .select("a", "b", F.greatest("root_a", "root_b").alias("u"), F.least("root_a", "root_b").alias("v")))
+    met = (left.join(sets.select(F.col("t").alias("a"), F.col("held").alias("held_a")), "a")
+           .join(sets.select(F.col("t").alias("b"), F.col("held").alias("held_b")), "b")
+           .where((100 + share) * F.size(F.array_intersect("held_a", "held_b"))
+                  >= share * (F.size("held_a") + F.size("held_b"))))
+    return settle(met.select("u", "v").distinct(), "links")
+
+
+def _rare_first(crowded: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(t, word, p): the rarest shingles of every crowded text that a linked text must share one of, and their places."""
+    words = sets.join(crowded, "t", "left_semi").select("t", F.explode("held").alias("word"))
+    common = words.groupBy("word").count().where("count > 1")
+    # a text's own shingles at most are collected; those that no other text has only move the places
+    ranked = (words.join(common, "word").groupBy("t")
+              .agg(F.sort_array(F.collect_list(F.struct("count", "word"))).alias("f"))
+              .join(crowded.select("t", "n"), "t").withColumn("alone", F.col("n") - F.size("f")))
+    last = F.col("n") - F.floor((F.col("n") * share + 99) / 100) + 1
+    return (ranked.withColumn("f", F.slice("f", 1, F.greatest(F.lit(0), last - F.col("alone")).cast("int")))
+            .select("t", "alone", F.posexplode("f").alias("at", "e"))
+            .select("t", "e.word", (F.col("alone") + F.col("at") + 1).alias("p")))
+
+
 def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -183,44 +232,61 @@ def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
                       "sketches")
     # one row per distinct shingle set, under its smallest id (combined before the shuffle)
     classes = settle(sketched.where("mark is not null and doc_id is not null").groupBy("mark", "n")
-                     .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
-    banded = classes.select(F.struct("id", "mark").alias("who"), "n", F.explode("keys").alias("bucket"))
-    shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    # a fixed random place of each text in [0, 1)
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "who"), 11) * F.lit(2.0 ** -53)
-    bands = settle(banded.join(shared, "bucket", "left_semi")
-                   .select("bucket", "who", "n", place.alias("at"), F.col("who.id").alias("root")), "bands")
-    partners = settle(bands.select("who").distinct(), "partners")
-    wanted = partners.select(F.col("who.id").alias("_i")).distinct()
-    sets = settle(rows.join(wanted, F.col("doc_id") == F.col("_i"), "left_semi")
-                  .select("doc_id", F.pandas_udf(_full, "mark binary, held array<long>")("text").alias("s"))
-                  .select(F.struct(F.col("doc_id").alias("id"), "s.mark").alias("who"), "s.held")
-                  .dropDuplicates(["who"]), "partner-sets")
-    maps, hubs_wanted = [], 1.0
+                     .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("map").alias("map"))
+                     .withColumn("t", F.xxhash64("mark")), "classes")
+    banded = classes.select("t", F.explode("keys").alias("bucket"))
+    shared = banded.groupBy("bucket").count().where("count > 1")
+    bands = settle(banded.join(shared, "bucket"), "bands")
+    density = bands.groupBy("t").agg(F.sum("count").alias("density"))
+    facts = settle(classes.join(density, "t").select("t", "n", "map", "density", "id", F.col("id").alias("root")), "facts")
+    wanted = facts.select(F.col("id").alias("_i"), F.col("t").alias("_t"))
+    sets = settle(rows.join(wanted.select("_i").distinct(), F.col("doc_id") == F.col("_i"), "left_semi")
+                  .select(F.pandas_udf(_full, "mark binary, held array<long>")("text").alias("s"))
+                  .select(F.xxhash64("s.mark").alias("t"), "s.held")
+                  .join(wanted.select("_t"), F.col("t") == F.col("_t"), "left_semi").dropDuplicates(["t"]), "partner-sets")
+    maps = []
+
+    def link(pairs: DataFrame) -> bool:
+        """Take in the links among the pairs; whether there were any."""
+        nonlocal facts
+        fresh = _confirmed(pairs, facts, sets, share)
+        if fresh.isEmpty():
+            return False
+        maps.append(_spread_labels(fresh))
+        facts = settle(_relabel(facts, maps[-1]), "facts")
+        return True
+
+    # one star per bucket
+    hubs = (bands.join(facts.select("t", "density"), "t").groupBy("bucket")
+            .agg(F.max(F.struct("density", "t")).alias("h")).select("bucket", F.col("h.t").alias("hub")))
+    link(bands.join(hubs, "bucket").where("t <> hub")
+         .select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")).distinct())
+    # what is left in buckets of several components meets in groups of rare shingles
+    rooted = bands.join(facts.select("t", "root"), "t")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    crowded = settle(bands.join(several, "bucket", "left_semi").select("t").distinct()
+                     .join(facts.select("t", "n"), "t"), "crowded")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "t"), 11) * F.lit(2.0 ** -53)
+    groups = settle(_rare_first(crowded, sets, share).join(crowded, "t").withColumn("at", place), "rare-groups")
+    hubs_wanted = float(HUBS)
     while True:
-        state = (bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("at").alias("first"), F.min("root").alias("low"),
-                                             F.max("root").alias("high"))
-                 .where("low <> high").select("bucket", F.greatest("first", F.lit(hubs_wanted) / F.col("m")).alias("cut")))
-        live = settle(bands.join(state, "bucket"), "open-bands")
+        open_ = groups.join(facts.select("t", "root"), "t")
+        # the shorter text of a linked pair holds the shingle early enough for a text of its own size
+        early = (F.col("n") - F.col("p") + 1) * (100 + share) >= F.col("n") * (2 * share)
+        state = (open_.groupBy("word").agg(F.count("*").alias("m"), F.min("at").alias("first"), F.min("root").alias("low"),
+                                           F.max("root").alias("high"), F.bool_or(early).alias("early"))
+                 .where("low <> high and early")
+                 .select("word", F.greatest("first", F.lit(hubs_wanted) / F.col("m")).alias("cut")))
+        live = settle(open_.join(state, "word"), "open-groups")
         if live.isEmpty():
             break
-        hubs = live.where("at <= cut").select("bucket", F.col("who").alias("hub"), F.col("n").alias("hub_n"),
-                                              F.col("root").alias("hub_root"))
-        mine = F.col("who") < F.col("hub")
-        pairs = (live.join(hubs, "bucket").where("root <> hub_root")
-                 .where(F.greatest("n", "hub_n") * share <= F.least("n", "hub_n") * 100)
-                 .select(F.when(mine, F.col("who")).otherwise(F.col("hub")).alias("a"),
-                         F.when(mine, F.col("hub")).otherwise(F.col("who")).alias("b"),
-                         F.least("root", "hub_root").alias("v"), F.greatest("root", "hub_root").alias("u"),
-                         (F.col("n") + F.col("hub_n")).alias("sum")).distinct())
-        met = (pairs.join(sets.select(F.col("who").alias("a"), F.col("held").alias("held_a")), "a")
-               .join(sets.select(F.col("who").alias("b"), F.col("held").alias("held_b")), "b")
-               .where((100 + share) * F.size(F.array_intersect("held_a", "held_b")) >= share * F.col("sum")))
-        fresh = settle(met.select("u", "v").distinct(), "links")
-        bands = live.where("at > cut").drop("cut")
-        if not fresh.isEmpty():
-            maps.append(_spread_labels(fresh))
-            bands = _relabel(bands, maps[-1])
+        hub = live.where("at <= cut").select("word", *[F.col(c).alias(f"hub_{c}") for c in ("t", "n", "p", "root")])
+        room = 1 + F.least(F.col("n") - F.col("p"), F.col("hub_n") - F.col("hub_p"))
+        link(live.join(hub, "word").where("root <> hub_root")
+             .where(F.greatest("n", "hub_n") * share <= F.least("n", "hub_n") * 100)
+             .where(room * (100 + share) >= (F.col("n") + F.col("hub_n")) * share)
+             .select(F.least("t", "hub_t").alias("a"), F.greatest("t", "hub_t").alias("b")).distinct())
+        groups = live.where("at > cut").drop("cut", "root")
         hubs_wanted *= GROWTH
     named = classes.select(F.col("mark").alias("_mark"), F.col("id").alias("root"))
     for map_ in maps:
