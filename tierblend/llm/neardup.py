@@ -47,6 +47,8 @@ CORPUS_SHARE = 80
 HUBS, GROWTH = 16, 16
 #: Bits of the parity map of a text below four times as many shingles; four times the bits for each four times the length.
 MAP_BITS = 512
+#: Most ids of texts with a shared bucket that are broadcast to pick their texts; beyond, both sides are shuffled.
+SENT = 4_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
 
@@ -240,7 +242,10 @@ def components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     density = bands.groupBy("t").agg(F.sum("count").alias("density"))
     facts = settle(classes.join(density, "t").select("t", "n", "map", "density", "id", F.col("id").alias("root")), "facts")
     wanted = facts.select(F.col("id").alias("_i"), F.col("t").alias("_t"))
-    sets = settle(rows.join(wanted.select("_i").distinct(), F.col("doc_id") == F.col("_i"), "left_semi")
+    picked = wanted.select("_i").distinct()
+    if wanted.count() <= SENT:  # texts stay where they are
+        picked = F.broadcast(picked)
+    sets = settle(rows.join(picked, F.col("doc_id") == F.col("_i"), "left_semi")
                   .select(F.pandas_udf(_full, "mark binary, held array<long>")("text").alias("s"))
                   .select(F.xxhash64("s.mark").alias("t"), "s.held")
                   .join(wanted.select("_t"), F.col("t") == F.col("_t"), "left_semi").dropDuplicates(["t"]), "partner-sets")
