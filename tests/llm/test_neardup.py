@@ -75,3 +75,17 @@ def test_pipeline_drops_copies_from_80_percent_on(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, None).collect()) == [0, 2, 4, 6, 7]
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(8))
+
+
+def test_crowded_buckets_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(260):  # no text without changes: most pairs share buckets and stay below the threshold
+        words = list(base)
+        for at in rng.sample(range(90), rng.randrange(1, 5)):
+            words[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df).collect()}
+    assert got == brute(rows)
