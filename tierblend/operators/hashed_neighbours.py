@@ -33,8 +33,11 @@ ship_by_value(__name__)
 CUT_VECTORS, TUNED_QUERIES = 2_000, 128
 #: Most tables and bits; flipped bits are chosen among the ``FLIPS`` least sure ones of a code.
 MAX_TABLES, MAX_BITS, FLIPS = 16, 24, 10
-#: Rows of a bucket that meet in one task, pieces into which answers of copied queries are spread.
-SLICE_ROWS, SALTS = 5_000, 16
+#: Rows of a bucket that meet in one task (fewer where the vectors are long), pieces into which answers of copied
+#: queries are spread.
+SLICE_ROWS, SALTS = 65_536, 16
+#: Most bytes of the vectors of a slice, as numbers of 8 bytes.
+SLICE_BYTES = 64 << 20
 #: What a visit costs beside the distances computed in it, in distances.
 _VISIT = 50
 
@@ -166,8 +169,10 @@ def _fit(queries: DataFrame, targets: DataFrame, k: int, recall: float, seed: in
 
 
 def _known(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(id, vec)`` of the rows that have both; adding 0 makes -0.0 and 0.0 one value."""
-    rows = df.select(F.col(key).alias("id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
+    """``(id, vec)`` of the rows that have both; adding 0 makes -0.0 and 0.0 one value. Short numbers stay short."""
+    number = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    vec = F.transform(F.col(vector).cast(f"array<{number}>"), lambda x: x + F.lit(0.0).cast(number))
+    rows = df.select(F.col(key).alias("id"), vec.alias("vec"))
     return rows.filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
 
 
@@ -179,7 +184,7 @@ def _vectors(rows: DataFrame, name: str) -> DataFrame:
 def _bucketed(df: DataFrame, index: HashTables, visits: int) -> DataFrame:
     """One row per visited bucket: ``(id, vec, tab, code)``."""
     shared = df.sparkSession.sparkContext.broadcast((index.normals, index.cuts))
-    kind = df.schema["id"].dataType.simpleString()
+    kind, vec = (df.schema[c].dataType.simpleString() for c in ("id", "vec"))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals, cuts = shared.value
@@ -197,7 +202,25 @@ def _bucketed(df: DataFrame, index: HashTables, visits: int) -> DataFrame:
                         names=["id", "vec", "tab", "code"],
                     )
 
-    return df.select("id", "vec").mapInArrow(place, f"id {kind}, vec array<double>, tab int, code bigint")
+    return df.select("id", "vec").mapInArrow(place, f"id {kind}, vec {vec}, tab int, code bigint")
+
+
+def _load(df: DataFrame, index: HashTables, visits: int, name: str) -> DataFrame:
+    """Visits per bucket as ``(tab, code, name)``, counted without sending the vectors anywhere."""
+    shared = df.sparkSession.sparkContext.broadcast((index.normals, index.cuts))
+
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals, cuts = shared.value
+        step = max(1, min(1024, 16_384 // visits))
+        for whole in it:
+            for start in range(0, whole.num_rows, step):
+                x = _matrix(whole.slice(start, step).column("vec"))
+                for t in range(len(normals)):
+                    codes, n = np.unique(_visited(_sides(x, normals[t : t + 1], cuts[t : t + 1]), visits), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(codes), t, np.int32)), pa.array(codes), pa.array(n)], names=["tab", "code", "n"])
+
+    return df.select("vec").mapInArrow(place, "tab int, code bigint, n bigint").groupBy("tab", "code").agg(F.sum("n").alias(name))
 
 
 def _cut(rows: DataFrame, crowded: DataFrame, mine: str, other: str) -> DataFrame:
@@ -239,12 +262,12 @@ def nearest_hashed(
     if q.isEmpty() or t.isEmpty():
         return queries.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, rank int, distance double")
     index = index or _fit(q, t, k, recall, seed, bits)
-    left, right = settle(_bucketed(q, index, index.visits), "visits"), settle(_bucketed(t, index, 1), "buckets")
+    left, right = _bucketed(q, index, index.visits), _bucketed(t, index, 1)
 
-    load = left.groupBy("tab", "code").agg(F.count("*").alias("q")).join(
-        right.groupBy("tab", "code").agg(F.count("*").alias("t")), ["tab", "code"])
-    parts = [F.ceil(F.col(c) / F.lit(SLICE_ROWS)).cast("int").alias(f"{c}s") for c in "qt"]
-    crowded = load.filter(F.greatest("q", "t") > SLICE_ROWS).select("tab", "code", *parts)
+    slice_rows = max(1, min(SLICE_ROWS, SLICE_BYTES // (8 * max(1, index.normals.shape[2]))))
+    load = _load(q, index, index.visits, "q").join(_load(t, index, 1, "t"), ["tab", "code"])
+    parts = [F.ceil(F.col(c) / F.lit(slice_rows)).cast("int").alias(f"{c}s") for c in "qt"]
+    crowded = settle(load.filter(F.greatest("q", "t") > slice_rows).select("tab", "code", *parts), "crowded")
     on = ["tab", "code", "q", "t"]
     left, right = _cut(left, crowded, "q", "t"), _cut(right, crowded, "t", "q")
 
