@@ -61,3 +61,38 @@ def test_every_example_is_indexed_at_any_share():
             got = index.nearest(b)
             assert got[0][1] == i and np.allclose([-s for s, _ in want], [s for s, _ in got])
             assert index.score(b)[1]
+
+
+def test_vectors_of_texts_equal_those_of_bags():
+    rng = random.Random(5)
+    words = [a + b + c for a in ("", "under", "overs", "été") for b in ("take", "stand", "go") for c in ("", "n", "ing", "ings")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(300)] + ["", "1 2", "Nowhere", "a_b Over's"]
+    index = tox.Index(list(range(200)), [tox.terms(t) for t in texts[:200]], np.array([i % 3 == 0 for i in range(200)]))
+    for t in texts * 2:
+        at, weight = index.text_vector(t)
+        want_at, want = index.vector(tox.terms(t))
+        assert np.array_equal(at, want_at) and np.allclose(weight, want, rtol=1e-14, atol=0)
+
+
+def test_only_ties_are_summed_again():
+    """Sums of all terms are cosines already; only those too close to another to tell apart are taken anew."""
+    rng = random.Random(6)
+    bags = [{f"w{rng.randrange(60)}": rng.randint(1, 3) for _ in range(8)} for _ in range(150)]
+    bags += bags[:20]
+    index = tox.Index(list(range(170)), bags, np.array([i % 2 for i in range(170)]))
+    asked, taken = index._exact, []
+    index._exact = lambda wanted: taken.append(len(wanted)) or asked(wanted)
+    for b in bags[:40]:
+        at, w = index.vector(b)
+        dense = np.zeros(len(index.vocab))
+        dense[at] = w
+        sims = np.zeros(170)
+        for i, own in enumerate(bags):
+            other_at, other = index.vector(own)
+            sims[i] = dense[other_at] @ other
+        got = index.nearest(b)
+        want = sorted((-round(s, 12), j) for j, s in enumerate(sims) if s > 0)[:tox.NEIGHBOURS]
+        assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-11)
+        exact = {j: s for j, s in enumerate(sims)}
+        assert all(a > b - 1e-9 for a, b in zip([exact[j] for _, j in got], [exact[j] for _, j in got][1:]))
+    assert sum(taken) < 40 * tox.NEIGHBOURS

@@ -39,6 +39,8 @@ FIRST, FEW, WIDE = 256, 150, 16
 BATCH = 64
 #: Longer words also count under their first STEM letters, and such a stem again when a text has it OFTEN times.
 STEM, OFTEN = 5, 3
+#: Words whose terms a task keeps at hand.
+KEPT = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,6 +61,24 @@ def _ranges(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(starts[at] - before, lengths) + np.arange(lengths.sum()), lengths
 
 
+class _Known(dict):
+    """By word: its term and its stem's number, each plus one (0 if the index has none), packed into one number."""
+
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        names = sorted({w[:STEM] for w in vocab if w[STEM:] in ("*", "*+")})
+        self.vocab, self.stems = vocab, {w: i for i, w in enumerate(names, 1)}
+        self.star = np.array([vocab.get(w + "*", -1) for w in names], np.int64)
+        self.plus = np.array([vocab.get(w + "*+", -1) for w in names], np.int64)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        packed = (self.vocab.get(word, -1) + 1) << 32 | (self.stems.get(word[:STEM], 0) if len(word) > STEM else 0)
+        self[word] = packed
+        return packed
+
+
 class Index:
     def __init__(self, ids: list[int], bags: Iterable[dict[str, int]], labels: np.ndarray):
         self.ids, self.labels, n = np.asarray(ids, dtype=np.int64), labels.astype(float), len(ids)
@@ -109,6 +129,7 @@ class Index:
         held = self.dense_at[cols] >= 0
         self.dense[self.dense_at[cols[held]], self.docs[held]] = self.weights[held]
         self.spread = np.zeros(len(self.vocab))
+        self.known = _Known(self.vocab)
 
     def __getstate__(self):
         """What the rest follows from: a broadcast of all arrays would lie on each executor's disk."""
@@ -137,10 +158,30 @@ class Index:
         order = np.argsort(at)[np.count_nonzero(at < 0):]
         if not len(order):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = at[order]
-        weight = (1 + np.log(np.fromiter(bag.values(), float, len(bag))[order])) * self.idf[at]
+        return self._weighted(at[order], np.fromiter(bag.values(), float, len(bag))[order])
+
+    def _weighted(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts)) * self.idf[at]
         return at, weight / np.sqrt(weight @ weight)
 
+    def text_vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``vector(terms(text))`` without a bag: stems are added up as numbers."""
+        words = Counter(_WORD.findall(text.lower()))
+        packed = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        counts = np.fromiter(words.values(), float, len(words))
+        own, stem = (packed >> 32) - 1, (packed & 0xFFFFFFFF) - 1
+        order = np.argsort(stem)[np.count_nonzero(stem < 0):]
+        stem, sums = stem[order], counts[order]
+        if len(order):
+            first = np.flatnonzero(np.diff(stem, prepend=-1))
+            stem, sums = stem[first], np.add.reduceat(sums, first)
+        often = sums >= OFTEN
+        at = np.concatenate([own, self.known.star[stem], self.known.plus[stem[often]]])
+        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
+        return self._weighted(at[order], np.concatenate([counts, sums, sums[often]])[order])
+
     def nearest(self, bag: dict[str, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, as (cosine, position); exact."""
         return next(self._searched([self.vector(bag)], k))
@@ -178,11 +219,21 @@ class Index:
                 most = self._add(sums, turn[cut:], part[cut:])
         least = self._kth(sums if most is sums else self._exact(self._top(sums, 2 * k)), k)
         wanted = np.flatnonzero((most > 0) & (most >= least - 1e-9))
-        exact = np.round(self._exact(wanted), 12)
+        exact = self._close(wanted, sums[wanted]) if most is sums else self._exact(wanted)
+        exact = np.round(exact, 12)
         self.spread[at] = 0
         best = np.lexsort((self.ids[wanted], -exact))[:k]
         return [(float(exact[j]), int(wanted[j])) for j in best if exact[j] > 0]
 
+    def _close(self, wanted: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Cosines that are complete but for the order of summation; those too close to another are taken anew."""
+        order = np.argsort(sums)
+        near = np.diff(sums[order]) < 1e-9
+        tied = order[np.append(near, False) | np.append(False, near)]
+        if len(tied):
+            sums[tied] = self._exact(wanted[tied])
+        return sums
+
     def _add(self, sums: np.ndarray, terms_: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """``sums`` with the share of some listed terms in every example's cosine added, in place."""
         found, lengths = _ranges(self.starts, terms_)
@@ -227,8 +278,14 @@ class Index:
         self.values = np.array([p[1] / p[2] for p in pools])
 
     def scores(self, bags: Iterable[dict[str, int]]) -> list[tuple[float, list[int]]]:
-        """Calibrated score and ids of the neighbours per text."""
-        return [self._scored(found) for found in self._searched([self.vector(b) for b in bags], NEIGHBOURS)]
+        """Calibrated score and ids of the neighbours per bag."""
+        return self._all_scored([self.vector(b) for b in bags])
+
+    def text_scores(self, texts: Iterable[str]) -> list[tuple[float, list[int]]]:
+        return self._all_scored([self.text_vector(t) for t in texts])
+
+    def _all_scored(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        return [self._scored(found) for found in self._searched(vectors, NEIGHBOURS)]
 
     def score(self, bag: dict[str, int]) -> tuple[float, list[int]]:
         return self.scores([bag])[0]
@@ -264,7 +321,7 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
     def score(texts):
         rows = []
         for at in range(0, len(texts), BATCH):  # the terms of a few texts at a time
-            rows += shared.value.scores([terms(t) for t in texts.iloc[at:at + BATCH]])
+            rows += shared.value.text_scores(texts.iloc[at:at + BATCH])
         return pd.DataFrame(rows, columns=["score", "evidence"])
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
