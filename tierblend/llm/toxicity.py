@@ -95,6 +95,7 @@ class Index:
         self.own_terms, counts = cols[order], np.concatenate(counts)[order]
         self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
         self.own_starts = np.searchsorted(rows, np.arange(n + 1))
+        del place, own, rank, rows, cols, order, counts  # not held beside what follows
         self._arrange()
         mine = [slice(a, b) for a, b in zip(self.own_starts, self.own_starts[1:])]
         own_vectors = [(self.own_terms[m], self.own_weights[m]) for m in mine]
@@ -129,7 +130,7 @@ class Index:
         held = self.dense_at[cols] >= 0
         self.dense[self.dense_at[cols[held]], self.docs[held]] = self.weights[held]
         self.spread = np.zeros(len(self.vocab))
-        self.known = _Known(self.vocab)
+        self.known: _Known | None = None
 
     def __getstate__(self):
         """What the rest follows from: a broadcast of all arrays would lie on each executor's disk."""
@@ -166,6 +167,8 @@ class Index:
 
     def text_vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """``vector(terms(text))`` without a bag: stems are added up as numbers."""
+        if self.known is None:  # in tasks only: the driver has no use for it
+            self.known = _Known(self.vocab)
         words = Counter(_WORD.findall(text.lower()))
         packed = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         counts = np.fromiter(words.values(), float, len(words))
